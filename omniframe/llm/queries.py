@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import token_store
+from omniframe.llm import simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": simhash.op3_simhash,
     "op10_token_store": token_store.op10_token_store,
 }
 
