@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import simhash, token_store
+from omniframe.llm import mixing, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
+    "op5_mixing": mixing.op5_mixing,
     "op10_token_store": token_store.op10_token_store,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL}
