@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import decontaminate, mixing, quality, simhash, token_store
+from omniframe.llm import decontaminate, mixing, quality, simhash, substrings, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_substrings": substrings.op6_substrings,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_token_store": token_store.op10_token_store,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op6_substrings": substrings.SQL}
