@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import decontaminate, mixing, quality, simhash, substrings, token_store
+from omniframe.llm import decontaminate, lm_score, mixing, quality, simhash, substrings, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_simhash": simhash.op3_simhash,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_substrings": substrings.op6_substrings,
     "op8_decontamination": decontaminate.op8_decontamination,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op6_substrings": substrings.SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_mixing": mixing.SQL, "op6_substrings": substrings.SQL}
