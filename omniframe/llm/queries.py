@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import decontaminate, lm_score, mixing, quality, simhash, substrings, token_store, url_filter
+from omniframe.llm import decontaminate, language, lm_score, mixing, quality, simhash, substrings, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": lm_score.op2_lm_score,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_substrings": substrings.op6_substrings,
+    "op7_language": language.op7_language,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_token_store": token_store.op10_token_store,
