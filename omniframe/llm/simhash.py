@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from omniframe.llm import durable, words
 from omniframe.llm.components import components
 
+#: Crowded keys (a long each) up to which they are broadcast; beyond, they are joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
 
 def simhash(texts: pa.Array, width: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit fingerprints (uint64) of whole texts: a bit is set if it is in over half of the shingles' hashes."""
@@ -82,7 +85,10 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     keys = durable.save(keys, "variant-keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = keys.filter("n = 2").select("a", "b").filter(near).distinct()
-    crowded = _variants(fps).join(keys.filter("n > 2").select("k"), "k", "left_semi").select("fp").distinct()
+    many = keys.filter("n > 2").select("k")
+    if many.count() <= MOST_BROADCAST:
+        many = F.broadcast(many)
+    crowded = _variants(fps).join(many, "k", "left_semi").select("fp").distinct()
     mid = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
     mid = mid.select("fp", F.expr("if(i < 0, fp, fp ^ shiftleft(1L, greatest(i, 0)))").alias("z"))
     star = mid.select(F.col("fp").alias("b"), F.min("fp").over(Window.partitionBy("z")).alias("a"))
