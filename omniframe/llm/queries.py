@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omniframe.llm import decontaminate, language, lm_score, mixing, quality, simhash, substrings, token_store, url_filter
+from omniframe.llm import decontaminate, html_text, language, lm_score, mixing, quality, simhash, substrings, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_simhash": simhash.op3_simhash,
     "op4_url_filter": url_filter.op4_url_filter,
