@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in cols]
     shown = docs.select("*", F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"))
     prints = shown.select(F.struct("doc_id", "_k1", "_k2").alias("key"), "text")
-    prints = durable.save(fingerprints(prints).select("fp", "key.doc_id", "key._k1", "key._k2"), "prints")
+    prints = durable.save(fingerprints(prints, key="key").select("fp", "key.doc_id", "key._k1", "key._k2"), "prints")
     groups = near_groups(prints, "doc_id")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_k1", "_k2")
     first = prints.join(groups, "fp").groupBy("root").agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
