@@ -33,6 +33,8 @@ SLICE_BITS = 16
 #: Weights of the pair's, the word's and the uniform estimate.
 MIX = (0.55, 0.4, 0.05)
 TABLES = (WORD_BITS, PAIR_BITS)
+#: Ids of target documents up to which they are broadcast; beyond, the texts are joined to them by shuffling.
+MOST_BROADCAST = 2_000_000
 SCORED = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -53,13 +55,16 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's counts: rows (table, slice, counts); tables 0 and 1 are the background's words and pairs, 2 and 3 the target's."""
+    """A partition's counts: rows (table, slice, counts); tables 0 and 1 are the background's words and pairs, 2 and 3 the target's, 4 holds both numbers of texts."""
     held = [np.zeros(1 << b, np.uint32) for b in (*TABLES, *TABLES)]
+    texts = np.zeros(2, np.uint32)
     any_ = False
     for b in words.chunks(batches):
         any_ = True
         word, pair, _, at = _codes(b.column("text"))
-        target = np.repeat(pc.fill_null(b.column("target"), False).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+        good = pc.fill_null(b.column("target"), False).to_numpy(zero_copy_only=False).astype(bool)
+        texts += np.array([b.num_rows, good.sum()], np.uint32)
+        target = np.repeat(good, np.diff(at))
         for t, x in enumerate((word, pair, word[target], pair[target])):
             np.add.at(held[t], x, 1)
     if not any_:
@@ -67,17 +72,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, counts in enumerate(held):
         parts = counts.reshape(-1, 1 << SLICE_BITS)
         full = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), t), pa.int32()), pa.array(full, pa.int32()), pa.array([parts[s].tobytes() for s in full], pa.binary())], names=["table", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), t), pa.int32()), pa.array(full, pa.int32()), pa.array([_packed(parts[s]) for s in full], pa.binary())], names=["table", "slice", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([4], pa.int32()), pa.array([0], pa.int32()), pa.array([_packed(texts)], pa.binary())], names=["table", "slice", "counts"])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte a counter, and the rest of those above 255 as (position, rest) after them."""
+    big = np.flatnonzero(counts > 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + big.astype("<u4").tobytes() + (counts[big] - 255).astype("<u4").tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    rest = np.frombuffer(raw, "<u4", -1, size)
+    out[rest[: len(rest) // 2]] += rest[len(rest) // 2 :]
+    return out
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
         for t, s, c in zip(*(b.column(k).to_pylist() for k in ("table", "slice", "counts"))):
-            own = sums.setdefault((t, s), np.zeros(1 << SLICE_BITS, np.int64))
-            own += np.frombuffer(c, np.uint32)
+            size = 2 if t == 4 else 1 << SLICE_BITS
+            sums[t, s] = sums.get((t, s), 0) + _unpacked(c, size)
     for (t, s), own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([s], pa.int32()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["table", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([s], pa.int32()), pa.array([own.astype(np.float64 if t == 4 else np.float32).tobytes()], pa.binary())], names=["table", "slice", "counts"])
 
 
 class Models:
@@ -101,10 +120,13 @@ def fit(rows: DataFrame) -> tuple[Models, tuple[float, float]]:
     parts = rows.select("text", F.col("target").cast("boolean").alias("target")).mapInArrow(_count, "table int, slice int, counts binary")
     tables = [np.zeros(1 << b, np.float32) for b in (*TABLES, *TABLES)]
     merged = parts.repartition("table", "slice").mapInArrow(_add, "table int, slice int, counts binary")
+    n = np.zeros(2)
     for r in merged.toLocalIterator():
+        if r.table == 4:
+            n = np.frombuffer(r.counts, np.float64)
+            continue
         tables[r.table][r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.frombuffer(r.counts, np.float32)
-    n = rows.agg(F.count("text").alias("b"), F.count(F.when(F.col("target"), F.col("text"))).alias("t")).first()
-    return Models(tables), (float(n.b), float(n.t))
+    return Models(tables), (float(n[0]), float(n[1]))
 
 
 def score(docs: DataFrame, models: Models, n_texts: tuple[float, float]) -> DataFrame:
@@ -128,6 +150,9 @@ def score(docs: DataFrame, models: Models, n_texts: tuple[float, float]) -> Data
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, target): target if every label of the document says good and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("target")).filter("target")
+    good = durable.save(good, "target-ids")
+    if good.count() <= MOST_BROADCAST:
+        good = F.broadcast(good)
     return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
