@@ -175,14 +175,23 @@ def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's sigmoid: slope and shift by Newton steps on smoothed targets."""
     good = y.sum()
     t = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+    def loss(a: float, c: float) -> float:
+        z = a * raw + c
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * a * a)
+
     a, c = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * raw + c, -50, 50)))
         g = np.array([((p - t) * raw).sum() + 1e-3 * a, (p - t).sum()])
         q = p * (1 - p)
         hess = np.array([[(q * raw * raw).sum() + 1e-3, (q * raw).sum()], [(q * raw).sum(), q.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, c = a - float(np.clip(step[0], -5, 5)), c - float(np.clip(step[1], -5, 5))
+        step, size, now = np.linalg.solve(hess, g), 1.0, loss(a, c)
+        # a full step can overshoot where the curve is flat
+        while size > 1e-6 and loss(a - size * step[0], c - size * step[1]) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        a, c = a - float(size * step[0]), c - float(size * step[1])
     return a, c
 
 
