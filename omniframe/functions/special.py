@@ -514,6 +514,30 @@ def _array_range(n: A.Call, scope: Scope) -> Val:
     return typed(scope, C.call_sql("array::range", [compile(a, scope) for a in n.args]))
 
 
+def point(v: Val, scope: Scope) -> Val:
+    """A point object (type, coordinates) as a point; other values as they are."""
+    if isinstance(v.type, T.StructType) and "coordinates" in v.type.names and isinstance(v.type["coordinates"].dataType, T.ArrayType) and not isinstance(v.type["coordinates"].dataType.elementType, T.ArrayType):
+        c = f"{v.sql}.coordinates"
+        return typed(scope, f"named_struct('x', double(get({c}, 0)), 'y', double(get({c}, 1)))", v.literal)
+    return v
+
+
+@special("geo::distance", "geo::bearing")
+def _between(n: A.Call, scope: Scope) -> Val:
+    args = [point(compile(a, scope), scope) for a in n.args]
+    if any(not isinstance(a.type, T.StructType) or a.type.names != ["x", "y"] for a in args):
+        return lit(None)
+    return typed(scope, C.call_sql(n.name, args))
+
+
+@special("geo::hash::encode")
+def _geohash(n: A.Call, scope: Scope) -> Val:
+    v = point(compile(n.args[0], scope), scope)
+    if not isinstance(v.type, T.StructType) or v.type.names != ["x", "y"]:
+        return lit(None)
+    return python_udfs.call("geohash", scope, [v, *[compile(a, scope) for a in n.args[1:]]])
+
+
 @special("api::invoke", "api::req::body", "api::res::body", "api::timeout", "api::res::status", "api::res::header", "api::res::headers", "http::head", "http::get", "http::put", "http::post", "http::patch", "http::delete")
 def _outside(n: A.Call, scope: Scope) -> Val:
     raise QueryError(f"{n.name} reaches outside the engine and is not part of it")
@@ -527,4 +551,4 @@ def _udf(name: str) -> Callable[[A.Call, Scope], Val]:
 
 
 for _name, _function in python_udfs.NAMES.items():
-    SPECIAL[_name] = _udf(_function)
+    SPECIAL.setdefault(_name, _udf(_function))

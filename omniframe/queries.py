@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from omniframe.engine import star
+from omniframe.operators import fulltext, graph
+from omniframe.streaming import live, views
 
 #: name: (query, equivalent SQL)
 TEXTS: dict[str, tuple[str, str | None]] = {
@@ -87,7 +90,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "explain_plan": ("SELECT 'ok' AS x FROM orders:1", "SELECT 'ok' AS x"),
     # scalar families
     "fn_math": ("SELECT l_orderkey, l_linenumber, l_partkey, math::abs(l_partkey - 100) AS a, math::ceil(l_discount * 10) AS c, math::floor(l_discount * 10) AS f, math::fixed(math::sqrt(l_quantity), 6) AS s, math::fixed(math::ln(l_quantity), 6) AS l, math::fixed(math::log10(l_quantity), 6) AS l10, math::clamp(l_quantity, 10, 20) AS k, math::fixed(math::sin(l_quantity) + math::cos(l_quantity), 6) AS t, math::sign(l_partkey - 100) AS g, math::fixed(math::deg2rad(l_quantity), 6) AS r, math::lerp(0.0, 10.0, 0.5) AS p FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_partkey - 100) AS a, ceil(l_discount * 10) AS c, floor(l_discount * 10) AS f, round(sqrt(l_quantity), 6) AS s, round(ln(l_quantity), 6) AS l, round(log10(l_quantity), 6) AS l10, least(greatest(l_quantity, 10), 20)::DOUBLE AS k, round(sin(l_quantity) + cos(l_quantity), 6) AS t, CAST(sign(l_partkey - 100) AS BIGINT) AS g, round(radians(l_quantity), 6) AS r, 5.0::DOUBLE AS p FROM lineitem"),
-    "fn_math_array": ("SELECT user_id, math::fixed(math::percentile(value, 90), 3) AS p90, math::fixed(math::interquartile(value), 3) AS iqr, math::fixed(math::trimean(value), 3) AS tri, math::spread(value) AS spread, math::fixed(math::midhinge(value), 3) AS hinge FROM (SELECT user_id, array::group(value) AS value FROM events GROUP BY user_id)", "SELECT user_id, round(quantile_cont(value, 0.9), 3) AS p90, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 3) AS iqr, round(((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2 + quantile_cont(value, 0.5)) / 2, 3) AS tri, max(value) - min(value) AS spread, round((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2, 3) AS hinge FROM events GROUP BY user_id"),
+    "fn_math_array": ("SELECT user_id, math::fixed(math::percentile(value, 90), 8) AS p90, math::fixed(math::interquartile(value), 8) AS iqr, math::fixed(math::trimean(value), 8) AS tri, math::spread(value) AS spread, math::fixed(math::midhinge(value), 8) AS hinge FROM (SELECT user_id, array::group(value) AS value FROM events GROUP BY user_id)", "SELECT user_id, round(quantile_cont(value, 0.9), 8) AS p90, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) AS iqr, round(((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2 + quantile_cont(value, 0.5)) / 2, 8) AS tri, max(value) - min(value) AS spread, round((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2, 8) AS hinge FROM events GROUP BY user_id"),
     "fn_string": ("SELECT c_custkey, string::uppercase(c_name) AS u, string::lowercase(c_mktsegment) AS l, string::len(c_name) AS n, string::slice(c_name, 0, 8) AS s, string::reverse(c_mktsegment) AS r, string::replace(c_name, '#', '-') AS p, string::starts_with(c_name, 'Cust') AS w, string::repeat(c_mktsegment, 2) AS d, string::concat(c_mktsegment, ':', c_custkey) AS k, string::split(c_name, '#')[1] AS f, string::distance::levenshtein(c_mktsegment, 'BUILDING') AS lev FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substr(c_name, 1, 8) AS s, reverse(c_mktsegment) AS r, replace(c_name, '#', '-') AS p, starts_with(c_name, 'Cust') AS w, repeat(c_mktsegment, 2) AS d, c_mktsegment || ':' || c_custkey AS k, split_part(c_name, '#', 2) AS f, levenshtein(c_mktsegment, 'BUILDING') AS lev FROM customer"),
     "fn_string_is": ("SELECT page_id, string::is_url(url) AS u, string::is_email('a@b.com') AS e, string::is_ipv4('1.2.3.4') AS i, string::is_alpha('abc') AS a, string::is_numeric('123') AS n, string::is_semver('1.2.3') AS v, string::is_uuid('x') AS x, string::is_hexadecimal('ff0') AS h FROM pages", "SELECT page_id, true AS u, true AS e, true AS i, true AS a, true AS n, true AS v, false AS x, true AS h FROM pages"),
     "fn_string_similarity": ("SELECT c_custkey, string::distance::damerau_levenshtein(c_mktsegment, 'MACHIENRY') AS d, math::fixed(string::similarity::jaro_winkler(c_mktsegment, 'MACHINERY'), 6) AS j FROM customer", "SELECT c_custkey, damerau_levenshtein(c_mktsegment, 'MACHIENRY') AS d, round(jaro_winkler_similarity(c_mktsegment, 'MACHINERY'), 6) AS j FROM customer"),
@@ -130,6 +133,130 @@ r AS (SELECT doc_id, greatest(0, ln((n - d1 + 0.5) / (d1 + 0.5))) * 2.2 * (1 + l
 SELECT doc_id, round(x, 3) AS score FROM r"""
 TEXTS["bm25"] = ("SELECT doc_id, math::fixed(search::score(1), 3) AS score FROM documents WHERE text @1@ 'idiot clown'", _BM25)
 
+# hops up the tree k -> k div 2 over the parts' keys
+_TREE = "SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1"
+_WALK = f"""WITH RECURSIVE h AS ({_TREE}), w(start, node, depth, path) AS (
+SELECT p_partkey, p_partkey, 0, [p_partkey] FROM part WHERE p_partkey BETWEEN 100 AND 140
+UNION ALL SELECT start, h.b, depth + 1, list_append(path, h.b) FROM w JOIN h ON w.node = h.a WHERE depth < {{depth}})"""
+
+
+def _hops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    hop = part.filter("p_partkey > 1").selectExpr("p_partkey AS _from", "p_partkey div 2 AS _to")
+    return part.filter("p_partkey BETWEEN 100 AND 140"), hop
+
+
+def recurse_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.recurse(*_hops(spark, sf_dir), "collect")
+
+
+def recurse_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.recurse(*_hops(spark, sf_dir), "default", 3, 3)
+
+
+def recurse_dead_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.recurse(*_hops(spark, sf_dir), "default")
+
+
+def recurse_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = graph.recurse(*_hops(spark, sf_dir), "path", inclusive=True)
+    return out.select("start", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+
+
+def recurse_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = graph.recurse(*_hops(spark, sf_dir), "shortest", target=3)
+    return out.select("start", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+
+
+def recurse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels below each start, downwards."""
+    starts, up = _hops(spark, sf_dir)
+    out = graph.tree(starts, up.selectExpr("_to AS _from", "_from AS _to"), 2)
+    return out.select("start", F.size("tree.children").alias("kids"), F.size(F.flatten("tree.children.children")).alias("grandkids"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = star(spark, sf_dir)
+    words = e.sql("SELECT doc_id, search::score(1) AS score FROM documents WHERE text @1@ 'idiot clown'")
+    long = e.sql("SELECT doc_id, n_chars AS size FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200")
+    return words, long
+
+
+def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fulltext.rrf(list(_ranked(spark, sf_dir)), "doc_id", [("score", True), ("size", True)], 60, 20)
+    return out.select("doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fulltext.linear(list(_ranked(spark, sf_dir)), "doc_id", ["score", "size"], [0.7, 0.3], "minmax", 20)
+    return out.select("doc_id", F.round("linear_score", 3).alias("linear_score"))
+
+
+def _written(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Statements on a copy of the tables; the last one reads."""
+    return lambda spark, sf_dir: star(spark, sf_dir).sql(text)
+
+
+WRITES: dict[str, tuple[str, str]] = {
+    "dml_update": ("UPDATE customer SET c_acctbal += 100, c_name = string::uppercase(c_name) WHERE c_mktsegment = 'BUILDING' RETURN NONE; SELECT c_custkey, c_name, math::fixed(c_acctbal, 2) AS bal FROM customer", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_name END AS c_name, round(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END, 2) AS bal FROM customer"),
+    "dml_delete": ("DELETE customer WHERE c_acctbal < 0; SELECT c_custkey, c_acctbal FROM customer", "SELECT c_custkey, c_acctbal FROM customer WHERE NOT coalesce(c_acctbal < 0, true)"),
+    "dml_create": ("CREATE customer:-1 SET c_name = 'new', c_acctbal = 1.5; SELECT c_custkey, c_name, c_acctbal FROM customer", "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT -1, 'new', 1.5"),
+    "dml_upsert": ("UPSERT customer:1 SET c_name = 'one'; UPSERT customer:-2 SET c_name = 'two'; SELECT c_custkey, c_name FROM customer", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'one' ELSE c_name END AS c_name FROM customer UNION ALL SELECT -2, 'two'"),
+    "dml_insert_select": ("INSERT INTO rich (SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal > 9000); SELECT id, c_name FROM rich", "SELECT 'rich:' || c_custkey AS id, c_name FROM customer WHERE c_acctbal > 9000"),
+    "dml_insert_duplicate": ("INSERT INTO customer (SELECT c_custkey, 'again' AS c_name FROM customer:0..5) ON DUPLICATE KEY UPDATE c_name = $input.c_name; SELECT c_custkey, c_name FROM customer", "SELECT c_custkey, CASE WHEN c_custkey BETWEEN 0 AND 4 THEN 'again' ELSE c_name END AS c_name FROM customer"),
+    "dml_relate": ("RELATE ['person:a', 'person:b']->likes->['item:x', 'item:y', 'item:z'] SET w = 2; SELECT in, out, w FROM likes", "SELECT a AS \"in\", b AS out, 2::BIGINT AS w FROM (SELECT unnest(['person:a', 'person:b']) AS a), (SELECT unnest(['item:x', 'item:y', 'item:z']) AS b)"),
+    "dml_transaction": ("BEGIN; DELETE nation; CANCEL; SELECT n_nationkey, n_name FROM nation", "SELECT n_nationkey, n_name FROM nation"),
+    "ddl_view": ("DEFINE TABLE by_seg AS SELECT c_mktsegment AS seg, count() AS n FROM customer GROUP BY seg; UPDATE customer SET c_mktsegment = 'ALL' WHERE c_custkey < 100; SELECT seg, n FROM by_seg", "SELECT CASE WHEN c_custkey < 100 THEN 'ALL' ELSE c_mktsegment END AS seg, count(*) AS n FROM customer GROUP BY ALL"),
+    "control_flow": ("LET $out = []; FOR $i IN 1..=3 { CREATE step SET v = $i * 10; }; IF 1 < 2 { CREATE step SET v = 99 }; SELECT v FROM step", "SELECT unnest([10, 20, 30, 99])::BIGINT AS v"),
+    "change_feed": ("DEFINE TABLE ev CHANGEFEED 1d; CREATE ev:1 SET v = 1; UPDATE ev:1 SET v = 2; DELETE ev:1; SELECT version, op, id FROM $changes", "SELECT * FROM (VALUES (1, 'CREATE', 'ev:1'), (2, 'UPDATE', 'ev:1'), (3, 'DELETE', 'ev:1')) AS t(version, op, id)"),
+}
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = star(spark, sf_dir)
+    e.query(WRITES["change_feed"][0].rpartition(";")[0])
+    return e.sql("SHOW CHANGES FOR TABLE ev SINCE 0 LIMIT 100").select("version", "op", "id")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Events as a stream of files, and a folder of the stream's own."""
+    import uuid
+
+    from omniframe.sources import storage
+
+    e = star(spark, sf_dir)
+    home = f"{storage.base(e)}/stream-{uuid.uuid4().hex}"
+    rows = e.catalog.tables["events"].df()
+    rows.repartition(3, "event_id").write.parquet(f"{home}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    return stream, home
+
+
+def view_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view kept up to date from micro-batches of events."""
+    stream, home = _batches(spark, sf_dir)
+    view = views.View(["event_type"], {"n": ("count", None), "total": ("sum", "value"), "mean": ("mean", "value"), "low": ("min", "value"), "high": ("max", "value"), "sd": ("stddev", "value")}, f"{home}/view")
+    view.follow(stream, f"{home}/checkpoint").awaitTermination()
+    out = view.read(spark)
+    return out.select("event_type", "n", *[F.round(c, 3).alias(c) for c in ("total", "mean", "low", "high", "sd")])
+
+
+def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live SELECT over the stream of events, appended to a table."""
+    stream, home = _batches(spark, sf_dir)
+    rows = live.stream(star(spark, sf_dir).catalog, stream, "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 50")
+    live.notify(rows, f"{home}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{home}/out")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{home}/out")
+
+
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over the stream, with a watermark wide enough for all rows."""
+    stream, home = _batches(spark, sf_dir)
+    counts = views.windowed(stream, "ts", "1 day", ["event_type"], "60 days")
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{home}/out")).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.unix_seconds("start").alias("start"), "event_type", "n")
+
 
 def of_text(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: star(spark, sf_dir).sql(text)
@@ -137,6 +264,22 @@ def of_text(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: of_text(text) for name, (text, _) in TEXTS.items()}
 ORACLE: dict[str, str] = {name: sql for name, (_, sql) in TEXTS.items() if sql}
+QUERIES |= {name: _written(text) for name, (text, _) in WRITES.items()}
+QUERIES |= {f.__name__: f for f in (change_feed, recurse_collect, recurse_default, recurse_dead_end, recurse_path, recurse_shortest, recurse_tree, rrf, linear, view_incremental, live_filter, window_counts)}
+ORACLE |= {name: sql for name, (_, sql) in WRITES.items()}
+ORACLE |= {
+    "recurse_collect": _WALK.format(depth=256) + " SELECT start, node, depth FROM w WHERE depth > 0",
+    "recurse_default": _WALK.format(depth=3) + " SELECT start, node FROM w WHERE depth = 3",
+    "recurse_dead_end": "SELECT p_partkey AS start, 1::BIGINT AS node FROM part WHERE p_partkey BETWEEN 100 AND 140",
+    "recurse_path": _WALK.format(depth=256) + " SELECT start, array_to_string(path, '>') AS path FROM w WHERE node = 1",
+    "recurse_shortest": _WALK.format(depth=256) + " SELECT start, array_to_string(path[2:], '>') AS path FROM w WHERE node = 3",
+    "recurse_tree": "SELECT p.p_partkey AS start, CAST((SELECT count(*) FROM part c WHERE c.p_partkey // 2 = p.p_partkey) AS INT) AS kids, CAST((SELECT count(*) FROM part c WHERE c.p_partkey // 4 = p.p_partkey) AS INT) AS grandkids FROM part p WHERE p.p_partkey BETWEEN 100 AND 140",
+    "rrf": f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY x DESC, doc_id) AS k FROM ({_BM25.replace('SELECT doc_id, round(x, 3) AS score FROM r', 'SELECT doc_id, x::FLOAT AS x FROM r')})), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 200) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + k)), 6) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY sum(1.0::DOUBLE / (60 + k)) DESC, doc_id LIMIT 20",
+    "linear": f"WITH a AS (SELECT doc_id, x FROM ({_BM25.replace('SELECT doc_id, round(x, 3) AS score FROM r', 'SELECT doc_id, x FROM r')})), b AS (SELECT doc_id, n_chars AS x FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200), s AS (SELECT doc_id, 0.7 * CASE WHEN max(x) OVER () > min(x) OVER () THEN (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) ELSE 1 END AS v FROM a UNION ALL SELECT doc_id, 0.3 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS v FROM b) SELECT doc_id, round(sum(v), 3) AS linear_score FROM s GROUP BY doc_id ORDER BY sum(v) DESC, doc_id LIMIT 20",
+    "view_incremental": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 3) AS mean, round(min(value), 3) AS low, round(max(value), 3) AS high, round(stddev_samp(value), 3) AS sd FROM events GROUP BY event_type",
+    "live_filter": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 50",
+    "window_counts": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
