@@ -168,11 +168,13 @@ def held_out(key: Column) -> Column:
 
 def sample(docs: DataFrame, most: int = MOST_DOCS) -> list[tuple[str, str]]:
     """Up to ``most`` labelled rows outside the held-out fifth, by a hash of the id; of each a random stretch of at most 16,000 characters reaches the driver."""
-    pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = F.xxhash64(F.lit("lang"), "doc_id")
+    pool = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = words.bounded_sample(pool.select("doc_id").distinct(), F.col("doc_id"), most, ["doc_id"])
     begin = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 16000, F.lit(1))) + 1).cast("int")
-    rows = pool.select("lang", F.substring("text", begin, F.lit(16000)).alias("text"), order.alias("o"), "doc_id").orderBy("o", "doc_id", "lang", "text").limit(most)
-    return [(r.lang, r.text) for r in rows.collect()]
+    rows = pool.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("chosen", "doc_id", "lang", F.substring("text", begin, F.lit(16000)).alias("text"))
+    # an id may repeat; its first row by language and text stands for it
+    first = rows.groupBy("chosen", "doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    return [(r.r.lang, r.r.text) for r in sorted(first.collect(), key=lambda r: (r.chosen, r.doc_id))]
 
 
 def label(docs: DataFrame, model: Crf | None) -> DataFrame:

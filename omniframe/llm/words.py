@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside one Arrow batch.
 CHUNK_BYTES = 8 << 20
@@ -81,3 +83,15 @@ def starts(offsets: np.ndarray, width: int) -> np.ndarray:
     n = int(offsets[-1])
     end = np.repeat(offsets[1:], np.diff(offsets))
     return np.arange(n) + width <= end
+
+
+def bounded_sample(rows: DataFrame, key: Column, most: int, ties: list[str]) -> DataFrame:
+    """At most ``most`` rows, those whose key's hash is smallest.
+
+    A threshold that leaves about twice that many is worked out from the number of rows first,
+    so no task hands on more than its share of them, however many tasks there are.
+    """
+    n = rows.count()
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    cut = (1 << 40) if n <= 3 * most else (2 * most << 40) // n
+    return rows.withColumn("chosen", place).filter(F.col("chosen") < cut).orderBy("chosen", *ties).limit(most)
