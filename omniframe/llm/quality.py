@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from omniframe.llm import words
 
 #: The most labelled rows that the classifier is fitted on.
-MOST_LABELLED = 3000
+MOST_LABELLED = 2000
 BITS = 18
 #: A document is kept if its calibrated probability of good quality is at least this.
 KEEP_FROM = 0.5
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     Labels of repeated ids are averaged, null labels ignored. Without labels of both kinds the model keeps everything.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    chosen = chosen.withColumn("chosen", F.xxhash64(F.lit("quality"), "doc_id")).orderBy("chosen", "doc_id").limit(most)
+    chosen = words.bounded_sample(chosen, F.col("doc_id"), most, ["doc_id"])
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("y", "chosen", "text")
     got = rows.mapInArrow(features, FEATURES).toArrow().sort_by([("chosen", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy().astype(np.float64)
@@ -211,11 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     slot = lists.flatten().to_numpy()
     value = got.column("value").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(y)), n)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), n)
     held = got.column("chosen").to_numpy() % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    order = np.cumsum(~held) - 1
+    order = (np.cumsum(~held) - 1).astype(np.int32)
     fit = ~held[row]
     w, b = logistic(slot[fit], value[fit], order[row[fit]], y[~held])
     raw = np.bincount(row, w[slot] * value, minlength=len(y)) + b
