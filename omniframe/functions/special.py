@@ -323,6 +323,33 @@ def _file_part(n: A.Call, scope: Scope) -> Val:
     return Val(f"regexp_extract({v.sql}, '^([^:/]*):?(/.*)$', {group})", T.StringType())
 
 
+@special("file::put", "file::put_if_not_exists", "file::get", "file::head", "file::delete", "file::copy", "file::copy_if_not_exists", "file::rename", "file::rename_if_not_exists", "file::exists", "file::list")
+def _file(n: A.Call, scope: Scope) -> Val:
+    """Object-store calls on f"bucket:/key"; they run on the driver, once, when the query is planned."""
+    from omniframe.plans.planner import constant
+    from omniframe.sources.storage import Bucket
+
+    args = [constant(a, scope.catalog, scope.params) if not (isinstance(a, A.Lit) and a.kind == "file") else a.value for a in n.args]
+    what = n.name.split("::")[1]
+    name, _, key = (str(args[0]) + ("" if what == "list" or ":" in str(args[0]) else ":")).partition(":")
+    made = scope.catalog.objects.get("BUCKET", {}).get(name)
+    if made is None:
+        raise QueryError(f"there is no bucket {name}")
+    b = Bucket(scope.spark, str(made["backend"]))
+    absent = what.endswith("_if_not_exists")
+    what = what.removesuffix("_if_not_exists")
+    if what == "put":
+        b.put(key, args[1] if isinstance(args[1], (bytes, bytearray, str)) else str(args[1]), absent)
+        return lit(None)
+    if what in ("copy", "rename"):
+        getattr(b, what)(key, str(args[1]).partition(":")[2] or str(args[1]), absent)
+        return lit(None)
+    if what == "list":
+        return lit([x["key"] for x in b.list()])
+    out = getattr(b, what)(key)
+    return lit(bytes(out) if isinstance(out, (bytes, bytearray)) else out)
+
+
 @special("type::bool")
 def _bool(n: A.Call, scope: Scope) -> Val:
     return compile(A.Cast("bool", n.args[0]), scope)
