@@ -2,8 +2,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
+from omniframe.llm import components as components_module
 from omniframe.llm import simhash
 from omniframe.llm.components import components
 
@@ -50,7 +52,9 @@ def test_groups_against_all_pairs(spark):
     assert {r.key: r.component_id for r in named} == grouped(prints)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("share", [1_000_000, 7])
+def test_components_of_a_long_chain(spark, monkeypatch, share):
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", share)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
