@@ -154,15 +154,32 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def logistic(x_slot: np.ndarray, x_value: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression by full-batch adaptive gradient steps."""
+#: Feature counts handled at a time while fitting.
+BLOCK = 1 << 19
+
+
+def margins(w: np.ndarray, slot: np.ndarray, value: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Each row's sum of weights times values, a block of features at a time."""
+    z = np.zeros(n)
+    for k in range(0, len(slot), BLOCK):
+        s = slice(k, k + BLOCK)
+        z += np.bincount(row[s], w[slot[s]] * value[s], minlength=n)
+    return z
+
+
+def logistic(slot: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, fit: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Class-balanced logistic regression on the rows of ``fit``, by full-batch adaptive gradient steps."""
     w, b = np.zeros(1 << BITS, np.float32), 0.0
-    share = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    seen, seen_b = np.zeros(1 << BITS, np.float64), 0.0
+    good = y[fit].mean()
+    share = np.where(y > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9)) / fit.sum() * fit
+    seen, seen_b = np.zeros(1 << BITS), 0.0
     for _ in range(steps):
-        z = np.bincount(row, w[x_slot] * x_value, minlength=len(y)) + b
+        z = margins(w, slot, value, row, len(y)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        gw = np.bincount(x_slot, (g[row] * x_value), minlength=1 << BITS) + decay * w
+        gw = decay * w.astype(np.float64)
+        for k in range(0, len(slot), BLOCK):
+            s = slice(k, k + BLOCK)
+            gw += np.bincount(slot[s], g[row[s]] * value[s], minlength=1 << BITS)
         gb = float(g.sum())
         seen += gw * gw
         seen_b += gb * gb
@@ -208,17 +225,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 1.0, 1.0, 0.0)
     lists = got.column("slot").combine_chunks()
-    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     slot = lists.flatten().to_numpy()
     value = got.column("value").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(y), dtype=np.int32), n)
     held = got.column("chosen").to_numpy() % 5 == 0
+    del got, lists
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    order = (np.cumsum(~held) - 1).astype(np.int32)
-    fit = ~held[row]
-    w, b = logistic(slot[fit], value[fit], order[row[fit]], y[~held])
-    raw = np.bincount(row, w[slot] * value, minlength=len(y)) + b
+    w, b = logistic(slot, value, row, y, ~held)
+    raw = margins(w, slot, value, row, len(y)) + b
     part = held if held.any() else ~held
     return Model(w, b, *calibrate(raw[part], y[part]))
 
