@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-KINDS = ("count", "sum", "mean", "min", "max", "variance", "stddev")
-
 
 @dataclass
 class View:
