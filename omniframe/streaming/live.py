@@ -1,10 +1,9 @@
 """Live queries: notifications of a table's changes, and the same over a stream of rows."""
 
-from __future__ import annotations
-
 import uuid
 from typing import TYPE_CHECKING, Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +18,12 @@ if TYPE_CHECKING:
     from omniframe.plans.runner import Runner
 
 
-def start(r: Runner, c: dict[str, Any]) -> str:
+def patches(before: pd.Series, after: pd.Series) -> pd.Series:
+    """The JSON patch from one document to the other; a missing one counts as empty."""
+    return pd.Series([diff_text(a or "{}", b or "{}") for a, b in zip(before, after)])
+
+
+def start(r: "Runner", c: dict[str, Any]) -> str:
     """Register a live query; its notifications gather until they are taken."""
     s: A.Select = c["select"]
     name = s.sources[0].parts[0].value
@@ -34,7 +38,7 @@ def start(r: Runner, c: dict[str, Any]) -> str:
         p.where(s.where)
         key = F.col("_id") if "_id" in body.columns else F.col("id")
         if c["diff"]:
-            patch = F.udf(lambda a, b: diff_text(a or "{}", b or "{}"), "string")
+            patch = F.pandas_udf(patches, "string")
             return p.df.select("op", key.alias("id"), patch("before", "after").alias("result"))
         return p.df.select("op", key.alias("id"), F.coalesce("after", "before").alias("result"))
 
@@ -43,7 +47,7 @@ def start(r: Runner, c: dict[str, Any]) -> str:
     return live_id
 
 
-def stop(r: Runner, live_id: str) -> None:
+def stop(r: "Runner", live_id: str) -> None:
     for t in r.catalog.tables.values():
         if t.info.get("live", {}).pop(live_id, None) is not None:
             return

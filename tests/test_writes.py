@@ -93,6 +93,12 @@ def test_live_query(engine):
         engine.query(f"KILL '{key}'")
 
 
+def test_live_differences(engine):
+    key = engine.query("CREATE a:1 SET v = 1; LIVE SELECT DIFF FROM a; ")[-1]
+    engine.query("UPDATE a:1 SET v = 2")
+    assert [r.result for r in live.taken(engine.catalog, key).collect()] == ['[{"op":"replace","path":"/v","value":2}]']
+
+
 def test_only(engine):
     engine.query("CREATE p:a SET v = 1; CREATE p:b SET v = 2")
     assert engine.value("SELECT v FROM ONLY p:a") == {"v": 1}
