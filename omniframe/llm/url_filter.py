@@ -66,9 +66,9 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     h = h.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", domain(F.col("host"), F.col("suffix")))
     d = h.groupBy("domain", "suffix").agg(F.sum("n_host").alias("n_d"), F.sum("bad_host").alias("bad_d"))
     s = d.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
-    top = s.agg(F.sum("n_s").alias("n"), F.sum("bad_s").alias("bad"))
     k = F.lit(PRIOR)
-    s = s.crossJoin(F.broadcast(top)).withColumn("mean_s", (F.col("bad_s") + k * F.col("bad") / F.col("n")) / (F.col("n_s") + k))
+    whole = s.agg((k * F.sum("bad_s") / F.sum("n_s")).alias("x")).scalar()
+    s = s.withColumn("mean_s", (F.col("bad_s") + whole) / (F.col("n_s") + k))
     d = d.join(s.select("suffix", "mean_s"), "suffix").withColumn("mean_d", (F.col("bad_d") + k * F.col("mean_s")) / (F.col("n_d") + k))
     h = h.join(d.select("domain", "mean_d"), "domain")
     a, b = F.col("bad_host") + k * F.col("mean_d"), F.col("n_host") - F.col("bad_host") + k * (1 - F.col("mean_d"))
