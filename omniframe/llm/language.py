@@ -1,8 +1,8 @@
 """Operator 7: language of every word, and so of every text, by a linear-chain CRF.
 
-Each word is a node; its features are its hashed byte n-grams of one to four bytes
-with the word's ends marked (those that touch an end are the affixes) and the
-word itself (the lexicon). Transitions between neighbouring words'
+Each word is a node; its features are its hashed byte n-grams of two to four bytes,
+where marks of the word's ends count as bytes (those with a mark are the affixes), and
+the word itself (the lexicon). Transitions between neighbouring words'
 languages are learned with them. Forward-backward gives each word's
 probabilities, so code-switched text gets its words labelled one by one; a text's
 language is the one with the highest mean probability over its words with a
@@ -56,7 +56,6 @@ def word_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             x ^= x >> np.uint32(13)
         own.append(owner[:k][inside])
         value.append((x[inside] >> shift).astype(np.int64))
-    # single bytes say little in one script; they are the third kind of affix for short words
     o = np.concatenate(own)
     order = np.argsort(o, kind="stable")
     return np.concatenate(value)[order], np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n))])
