@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from omniframe.llm import words
 
+#: Bytes of text handled at a time; byte n-grams take some forty times that while they are scored.
+CHUNK_BYTES = 2 << 20
 #: The most labelled rows that the classifier is fitted on.
 MOST_LABELLED = 2000
 BITS = 18
@@ -139,7 +141,7 @@ FEATURES = "y double, chosen long, slot array<int>, value array<float>"
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Relative frequencies of each text's n-grams, as sparse rows."""
-    for b in words.chunks(batches):
+    for b in words.chunks(batches, most=CHUNK_BYTES):
         texts = b.column("text")
         flat, at = words.split(texts)
         code, distinct = words.encode(flat)
@@ -249,7 +251,7 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in words.chunks(batches):
+        for b in words.chunks(batches, most=CHUNK_BYTES):
             texts = b.column("text")
             flat, at = words.split(texts)
             code, distinct = words.encode(flat)
@@ -275,7 +277,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in words.chunks(batches):
+        for b in words.chunks(batches, most=CHUNK_BYTES):
             texts = b.column("text")
             flat, at = words.split(texts)
             code, distinct = words.encode(flat)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside one Arrow batch.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,6 +30,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, n]):
             yield batch.slice(int(a), int(b - a))
+        # workers live on from task to task; what Arrow holds in reserve goes back
+        pa.default_memory_pool().release_unused()
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
