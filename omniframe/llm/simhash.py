@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from omniframe.llm import durable, words
+from omniframe.llm import durable, minhash, words
 from omniframe.llm.components import components
 
 #: Crowded keys (a long each) up to which they are broadcast; beyond, they are joined by shuffling.
@@ -122,7 +122,7 @@ def assign(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group, the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies (see minhash), the document with the smallest doc_id stays.
 
     Null ids come last; ties go to the smaller hash of the whole row, and of
     rows that are equal in every column one stays. All columns are kept, and
@@ -132,10 +132,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in cols]
     shown = docs.select("*", F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"))
     prints = shown.select(F.struct("doc_id", "_k1", "_k2").alias("key"), "text")
-    prints = durable.save(fingerprints(prints, key="key").select("fp", "key.doc_id", "key._k1", "key._k2"), "prints")
-    groups = near_groups(prints, "doc_id")
+    prints = durable.save(minhash.sketches(prints, "key").select("node", "size", "bands", "key.doc_id", "key._k1", "key._k2"), "prints")
+    groups = minhash.near_roots(prints, shown, ["_k1", "_k2"])
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_k1", "_k2")
-    first = prints.join(groups, "fp").groupBy("root").agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
+    first = prints.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
     kept = shown.join(first, ["_k1", "_k2"], "left_semi")
     again = Window.partitionBy("_k1", "_k2").orderBy("_k1")
     return kept.withColumn("_n", F.row_number().over(again)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in cols])
