@@ -7,7 +7,8 @@ priors: the suffix's mean towards the overall mean, the domain's towards the
 suffix's, the host's towards the domain's, each prior weighing
 ``PRIOR`` observations. A host is blocked if the lower bound of its posterior
 (mean less ``Z`` standard deviations of its beta distribution) is above
-``MOST_BAD``. Explicit rules come first: the longest rule that fits decides.
+``MOST_BAD``. A host without labelled pages has the prior of its domain as its
+posterior; a domain without any that of its suffix, and so on. Explicit rules come first: the longest rule that fits decides.
 
 Sums by host combine before the shuffle; pages meet the hosts' verdicts in an
 equality join on the host of narrow rows, whose hot hosts adaptive execution splits.
@@ -59,15 +60,15 @@ def rule(h: Column, p: Column) -> tuple[Column, Column]:
 
 
 def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, blocked, n_host, bad_host) of every host with a labelled page."""
+    """(host, blocked, n_host, bad_host) of every host; blocked is null if no page has a label."""
     known = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")).filter("bad is not null")
-    seen = pages.select("page_id", "host").join(known, F.col("page_id") == F.col("doc_id"))
-    h = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"), F.sum("bad").alias("bad_host"))
+    seen = pages.select("page_id", "host").join(known, F.col("page_id") == F.col("doc_id"), "left")
+    h = seen.groupBy("host").agg(F.count("bad").alias("n_host"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_host"))
     h = h.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", domain(F.col("host"), F.col("suffix")))
     d = h.groupBy("domain", "suffix").agg(F.sum("n_host").alias("n_d"), F.sum("bad_host").alias("bad_d"))
     s = d.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
     k = F.lit(PRIOR)
-    whole = s.agg((k * F.sum("bad_s") / F.sum("n_s")).alias("x")).scalar()
+    whole = s.agg((k * F.sum("bad_s") / F.nullif(F.sum("n_s"), F.lit(0))).alias("x")).scalar()
     s = s.withColumn("mean_s", (F.col("bad_s") + whole) / (F.col("n_s") + k))
     d = d.join(s.select("suffix", "mean_s"), "suffix").withColumn("mean_d", (F.col("bad_d") + k * F.col("mean_s")) / (F.col("n_d") + k))
     h = h.join(d.select("domain", "mean_d"), "domain")
@@ -80,8 +81,8 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, n_host, bad_host of every row.
 
     A null url, or one without ``://``, has an empty host and path and no rule;
-    the empty host has a reputation like any other. Hosts without labelled
-    pages are allowed. Repeated pages are judged alike; other columns are ignored.
+    the empty host has a reputation like any other. Without any labelled page
+    no host is blocked. Repeated pages are judged alike; other columns are ignored.
     """
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     known = reputation(rows, labels)
