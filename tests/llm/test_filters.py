@@ -54,42 +54,6 @@ def test_quality_learns(spark, docs):
     assert quality.judge(docs([]), quality.train(docs([]), labels.limit(0))).count() == 0
 
 
-def test_decontamination(spark, docs):
-    items = [[f"i{k}w{j}" for j in range(30)] for k in range(5)] + [["short", "one", "here"], []]
-    bench = spark.createDataFrame([(k, " ".join(w), "extra") for k, w in enumerate(items)] + [(99, None, "x")], "item_id long, text string, doc_id string")
-    noise = lambda n: [f"n{RND.randrange(10**6)}" for _ in range(n)]
-    swapped = list(items[1])
-    swapped[7] = swapped[20] = "other"
-    rows = [
-        (0, " ".join(noise(40) + items[0] + noise(40))),
-        (1, " ".join(noise(10) + swapped + noise(5))),
-        (2, " ".join(noise(100))),
-        (3, "I2W0, " + " ".join(w.upper() + "." for w in items[2][1:])),
-        (4, " ".join(noise(20) + items[3][:20] + noise(20))),
-        (5, "some short one here too"),
-        (6, " ".join(items[4][:6])),
-        (7, None), (8, ""), (0, " ".join(items[0])), (None, " ".join(items[0])),
-    ]
-    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_overlap) for r in decontaminate.overlaps(docs(rows), bench).collect()}
-    assert got == {(0, 0): (30, 30), (1, 1): (28, 30), (3, 2): (30, 30), (4, 3): (20, 20), (5, 5): (3, 3), (None, 0): (30, 30)}
-    left = decontaminate.drop_leaks(docs(rows), bench)
-    assert left.columns == docs([]).columns and sorted(r.doc_id for r in left.collect()) == [2, 6, 7, 8]
-    assert decontaminate.overlaps(docs([]), bench).count() == 0
-    assert decontaminate.overlaps(docs(rows), bench.limit(0)).count() == 0
-
-
-def test_best_run_against_all_runs():
-    rng = np.random.default_rng(2)
-    for _ in range(200):
-        same = rng.random(int(rng.integers(1, 25))) < 0.7
-        best = None
-        for a in range(len(same)):
-            for z in range(a + 1, len(same) + 1):
-                if same[a] and same[z - 1] and 10 * same[a:z].sum() >= 8 * (z - a) and (best is None or z - a > best[1] - best[0]):
-                    best = (a, z)
-        assert decontaminate.best_run(same) == best
-
-
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.NET/en/x?q=/de/", "http://a.net", "http://a.net/", "https://x.example.com/de/1#f", "http://org/fr/", "http://b.org/fr", "x://h?://y/z", "http://notexample.net/en/", "http://É.org/fr/é"]
     pages = spark.createDataFrame([(k, u, "h", "clash") for k, u in enumerate(urls)] + [(3, urls[3], "h", "clash")], "page_id long, url string, html string, host string")
