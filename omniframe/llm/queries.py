@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_mixing": mixing.SQL, "op6_substrings": substrings.SQL}
+ORACLE: dict[str, str] = {"op2_lm_score": lm_score.SQL, "op4_url_filter": url_filter.SQL, "op5_mixing": mixing.SQL, "op6_substrings": substrings.SQL}

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from omniframe.llm import decontaminate, language, lm_score, quality, url_filter, words
+from omniframe.llm import language, quality, url_filter, words
 
 RND = random.Random(11)
 EN, DE = ["the", "and", "thing", "with", "nation", "ever", "house"], ["der", "und", "schön", "nicht", "über", "zeit", "haus"]
@@ -109,25 +109,3 @@ def test_forward_backward_against_all_labellings():
                     pair[y[i - 1], y[i]] += p
         want[a:z], both = acc / total, both + pair / total
     assert np.allclose(got, want, atol=1e-6) and np.allclose(pairs, both, atol=1e-6)
-
-
-def test_lm_scores(spark, docs):
-    rows = [(k, text(EN if k % 2 else DE, 40)) for k in range(100)] + [(200, None), (201, ""), (None, text(EN, 9)), (1, text(EN, 9))]
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)] + [(1, 1, 0), (3, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
-    d = docs(rows)
-    marked = lm_score.with_target(d, labels)
-    assert marked.filter("target").count() == 49
-    got = {r.doc_id: r for r in lm_score.score(d, *lm_score.fit(marked)).collect()}
-    assert max(got[k].score for k in range(1, 100, 2)) < min(got[k].score for k in range(0, 100, 2))
-    assert got[200].n_tokens == 0 and got[200].score is None and got[201].score is None
-    assert lm_score.score(docs([]), *lm_score.fit(lm_score.with_target(docs([]), labels))).count() == 0
-
-
-def test_lm_counts_are_exact(docs):
-    rows = [(1, "a b a b a"), (2, "a c"), (3, "x " * 700)]
-    d = docs(rows).selectExpr("text", "doc_id = 2 AS target")
-    models, n = lm_score.fit(d)
-    word, pair, _, _ = lm_score._codes(pa.array(["a b a"]))
-    assert n == (3.0, 1.0)
-    assert [models.tables[0][w] for w in word] == [4, 2, 4] and [models.tables[2][w] for w in word] == [1, 0, 1]
-    assert models.tables[1][pair[1]] == 2 and models.tables[1][pair[2]] == 2 and max(models.tables[0]) == 700
