@@ -33,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
 
     Sources by code point, null last, weigh ``weights`` in turn and share the
     total size. No target exceeds ``most`` times its source's size: what is
-    above is shared again by weight until none is. That fixed point is a
+    above is shared again by weight until none is. The windows see one narrow row a
+    source (a million sources are some 50 MB in one task). That fixed point is a
     filling to one level (words a unit of weight), found in one sorted pass:
     sources in order of the level at which they are full, the first k of them full.
     """
@@ -75,7 +76,11 @@ def copies(size: Column, source_size: Column, target: Column, key: Column, seed:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken of every document.
+
+    A null or empty text has size 0; null sources are one source (the last); null ids are one id; repeated rows are
+    taken alike; an empty table gives no row; other columns are ignored.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = durable.save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     out = with_targets(sizes, durable.save(targets(sizes), "targets"))
@@ -87,17 +92,14 @@ def mix(docs: DataFrame, seed: int = 5, weights: tuple[float, ...] = (1, 2, 3),
     """Every document as many times as the mix takes it, all columns kept.
 
     Null texts have no words; a source without words is taken zero times; an
-    empty table stays empty. Equal rows with one id are taken alike.
+    empty table stays empty. Null sources are one source, null ids one id; equal rows with one id
+    are taken alike. Columns may have any names.
     """
-    cols = docs.columns
-    sizes = docs.select("source", n_words(F.col("text")).alias("size"))
-    table = durable.save(targets(sizes, weights, most), "targets").select(F.col("source").alias("_s"), F.col("source_size").alias("_n"), F.col("target").alias("_t"))
-    if table.count() <= MOST_BROADCAST:
-        table = F.broadcast(table)
-    out = docs.join(table, F.col("source").eqNullSafe(F.col("_s")))
-    n = copies(F.lit(0), F.col("_n"), F.col("_t"), F.col("doc_id"), seed)
-    out = out.withColumn("_c", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.expr("array()").cast("array<bigint>"))))
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+    row = docs.select("source", "doc_id", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    table = durable.save(targets(row.select("source", "size"), weights, most), "targets")
+    n = copies(F.lit(0), F.col("source_size"), F.col("target"), F.col("doc_id"), seed)
+    times = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.expr("array()").cast("array<bigint>"))
+    return with_targets(row.select("source", "doc_id", "row"), table).select("row", F.explode(times).alias("time")).select("row.*")
 
 
 SQL = """

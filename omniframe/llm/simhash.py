@@ -32,6 +32,8 @@ from omniframe.llm.components import components
 
 #: Crowded keys (a long each) up to which they are broadcast; beyond, they are joined by shuffling.
 MOST_BROADCAST = 1_000_000
+#: A fingerprint that more than one row in so many has is joined by broadcast; there are at most so many of them.
+CROWDED = 10_000
 
 
 def simhash(texts: pa.Array, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -96,46 +98,58 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, key: str = "key") -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint.
+    """(fp, root, component_id, n_rows) of every distinct fingerprint.
 
     root is a fingerprint that stands for its whole component, component_id the
     smallest key in it; null keys count only where all are null.
     """
-    own = durable.save(prints.groupBy("fp").agg(F.min(key).alias("own")), "distinct-prints")
+    own = durable.save(prints.groupBy("fp").agg(F.min(key).alias("own"), F.count(F.lit(1)).alias("n_rows")), "distinct-prints")
     roots = durable.save(components(links(own.select("fp"))), "roots")
     merged = roots.join(own, F.col("node") == F.col("fp"))
     best = merged.groupBy("root").agg(F.min("own").alias("best"))
     named = merged.select("fp", "root").join(best, "root").select("fp", "root", "best")
-    return own.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("best", "own").alias("component_id"))
+    return own.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("best", "own").alias("component_id"), "n_rows")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    """doc_id, fingerprint (16 hex digits), component_id of every document; odd rows as in ``assign``."""
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def assign(docs: DataFrame) -> DataFrame:
-    """One row per document, repeated rows and null ids included; other columns are ignored."""
+    """One row per document, repeated rows and null ids included.
+
+    Null and empty texts have fingerprint zero and are linked like any other; a
+    component of null ids alone has a null component_id; an empty table gives no row; other columns are ignored.
+    """
     prints = durable.save(fingerprints(docs), "prints")
-    groups = near_groups(prints)
-    return prints.join(groups, "fp").select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = durable.save(near_groups(prints).select("fp", "component_id", "n_rows"), "groups")
+    total = prints.count()
+    crowded = F.broadcast(groups.filter(F.col("n_rows") > total // CROWDED + 1))
+    # a fingerprint that many rows share is not shuffled with them
+    many = prints.join(crowded, "fp")
+    few = prints.join(crowded.select("fp"), "fp", "left_anti").join(groups, "fp")
+    out = many.select("fp", "key", "component_id").union(few.select("fp", "key", "component_id"))
+    return out.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each group of near copies (see minhash), the document with the smallest doc_id stays.
 
     Null ids come last; ties go to the smaller hash of the whole row, and of
-    rows that are equal in every column one stays. All columns are kept, and
-    documents that are near no other stay as they are.
+    rows that are equal in every column one stays (null and empty values differ). A text without words
+    is near those without words only. All columns are kept, whatever their names, and
+    documents that are near no other stay as they are; an empty table stays empty.
     """
-    cols = docs.columns
-    whole = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in cols]
-    shown = docs.select("*", F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"))
-    prints = shown.select(F.struct("doc_id", "_k1", "_k2").alias("key"), "text")
-    prints = durable.save(minhash.sketches(prints, "key").select("node", "size", "bands", "key.doc_id", "key._k1", "key._k2"), "prints")
-    groups = minhash.near_roots(prints, shown, ["_k1", "_k2"])
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_k1", "_k2")
-    first = prints.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
-    kept = shown.join(first, ["_k1", "_k2"], "left_semi")
-    again = Window.partitionBy("_k1", "_k2").orderBy("_k1")
-    return kept.withColumn("_n", F.row_number().over(again)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    whole = [x for c in cols for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))]
+    row = docs.select(F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2"), "doc_id", "text", F.struct(*cols).alias("row"))
+    shown = row.select(F.struct("doc_id", "k1", "k2").alias("key"), "text")
+    prints = durable.save(minhash.sketches(shown, "key").select("node", "size", "bands", "key.doc_id", "key.k1", "key.k2"), "prints")
+    groups = minhash.near_roots(prints, row.select("k1", "k2", "text"), ["k1", "k2"])
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
+    # copies are combined before any shuffle: by text, then by group
+    best = prints.groupBy("node").agg(F.min(rank).alias("r")).join(groups, "node", "left")
+    first = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r")).select("r.k1", "r.k2")
+    once = row.groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return once.join(first, ["k1", "k2"], "left_semi").select("row.*")

@@ -13,7 +13,7 @@ word, so a count-min sketch first finds the windows that may repeat:
    slice of the counters into two bitmaps of "more than once".
 2. A second pass looks the anchor of every window up. Estimates are never below
    the true counts, so no repeated window is lost. What is left is
-   grouped exactly by 96 bits of hashes of the window. Windows seen twice within
+   grouped by 128 bits of two independent hashes of the window. Windows seen twice within
    one block of documents are settled there and leave one row for the rest, so
    a passage that a third of the documents share is pre-aggregated.
 3. Each document's repeated windows are brought to its text.
@@ -166,7 +166,7 @@ def _window_hash(h: np.ndarray, where: np.ndarray, width: int, base: int) -> np.
     return words.mix((total[where + width] - total[where]) * back[where])
 
 
-FOUND = "h1 long, h2 int, doc_id long, row_key long, at int, settled binary"
+FOUND = "h1 long, h2 long, doc_id long, row_key long, at int, settled binary"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator
         if not len(where):
             continue
         other = words.hashes(distinct, 1)[code]
-        h1, h2 = _window_hash(h, where, width, 0x9E3779B97F4A7C15), _window_hash(other, where, width, 0xD6E8FEB86659FD93) >> np.uint64(32)
+        h1, h2 = _window_hash(h, where, width, 0x9E3779B97F4A7C15), _window_hash(other, where, width, 0xD6E8FEB86659FD93)
         o = np.lexsort((h2, h1))
         same = (h1[o][1:] == h1[o][:-1]) & (h2[o][1:] == h2[o][:-1])
         fresh, known = np.ones(len(o), bool), np.zeros(len(o), bool)
@@ -199,7 +199,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator
         pick = np.flatnonzero(fresh)
         take = pa.array(row[pick])
         n = len(pick)
-        yield pa.RecordBatch.from_arrays([pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].astype(np.uint32).view(np.int32)), ids.take(take), keys.take(take), pa.array((where[pick] - at[row[pick]]).astype(np.int32)), pa.nulls(n, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64)), ids.take(take), keys.take(take), pa.array((where[pick] - at[row[pick]]).astype(np.int32)), pa.nulls(n, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
         done = np.flatnonzero(known)
         if len(done):
             rows, first = np.unique(row[done], return_index=True)
@@ -208,7 +208,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator
             data = [local[x:y].tobytes() for x, y in zip(cut, cut[1:])]
             take = pa.array(rows)
             k = len(rows)
-            yield pa.RecordBatch.from_arrays([keys.take(take), pa.nulls(k, pa.int32()), ids.take(take), keys.take(take), pa.nulls(k, pa.int32()), pa.array(data, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([keys.take(take), pa.nulls(k, pa.int64()), ids.take(take), keys.take(take), pa.nulls(k, pa.int32()), pa.array(data, pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -53,3 +53,18 @@ def test_copies(docs):
 def test_words(spark):
     df = spark.createDataFrame([(None,), ("",), (" a\tb\x0bc ",), ("a\u00a0b",), ("\x1cx",)], "text string")
     assert [r.n for r in df.select(mixing.n_words(F.col("text")).alias("n")).collect()] == [0, 0, 3, 1, 1]
+
+
+def test_clashing_names(docs):
+    rows = [(k, "w " * (1 + k % 7), "en", "big" if k % 3 else "small") for k in range(60)]
+    plain = Counter(r.doc_id for r in mixing.mix(docs(rows)).collect())
+    names = ["_n", "_s", "_t", "_c", "row", "size", "source_size", "target", "time", "_1"]
+    odd = docs(rows).selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    out = mixing.mix(odd)
+    assert out.columns == odd.columns and Counter(r.doc_id for r in out.collect()) == plain
+    assert all(r.doc_id == r["_c"] == r["time"] for r in out.collect())
+
+
+def test_very_long_text(docs):
+    rows = [(1, "word " * 400_000, "en", "a"), (2, "x", "en", "b")]
+    assert mixing.mix(docs(rows)).count() >= 1

@@ -82,3 +82,19 @@ def test_keep_one(docs):
     assert kept.columns == docs([]).columns
     assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(False, 4, "w0 w1"), (False, 5, "alone"), (False, 7, ""), (True, 0, "only ")]
     assert simhash.keep_one(docs([])).count() == 0
+
+
+def test_keep_one_with_clashing_names(docs):
+    long = " ".join(f"w{i}" for i in range(300))
+    names = ["_k1", "_k2", "_n", "k1", "k2", "row", "node", "root", "r", "size", "bands"]
+    odd = docs([(1, long), (2, long), (3, None), (4, ""), (5, "other words stand here now")]).selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    out = simhash.keep_one(odd)
+    assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 5]
+
+
+def test_crowded_fingerprints_by_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 3)
+    rows = [(k, "the same words here" if k % 2 else f"text {k} alone in this") for k in range(40)] + [(None, "the same words here"), (50, None), (51, "")]
+    got = {r.doc_id: r.component_id for r in simhash.assign(docs(rows)).collect()}
+    assert len(got) == 43 and got[None] == got[39] == 1 and got[51] == got[50] == 50
+    assert all(got[k] == grouped({j: brute(t) for j, t in rows if j is not None})[k] for k in range(0, 40, 2))
