@@ -9,13 +9,13 @@ more the document is like the target. A document is never scored by its own
 words: its counts are left out of each model that has seen it.
 
 Counts are those of all words and word pairs of all documents and grow with the corpus; nothing is
-gathered at one place. Documents are coded in chunks of a bounded size. A chunk's distinct
+gathered at one place. Documents are put into chunks of a bounded size, kept compressed. A chunk's distinct
 words and pairs are sent, by range of their hash (a slice), as sorted
 differences with the chunk's own counts; a slice's task adds the chunks'
 counts up and answers each chunk with the totals of what it asked for. A key
 comes at most once from a chunk, however often it occurs, so no slice is hot. Then
 each chunk meets its answers and is scored. Keys are hashes whose length follows the
-size of the input (18 bits more than its bytes need), so that
+size of the input (24 bits more than its bytes need), so that
 counts of different keys practically never meet.
 """
 
@@ -36,9 +36,9 @@ from omniframe.llm import durable, words
 #: Weights of the pair's, the word's and the uniform estimate; without a context seen before, the word's has the pair's too.
 MIX = (0.55, 0.4, 0.05)
 #: Bytes of text in one chunk (a longer text is a chunk of its own).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text for each slice of the keys.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Ids of target documents (8 bytes each) up to which they go to all tasks; beyond, the texts are joined to them by shuffling.
 MOST_BROADCAST = 8_000_000
 CODED = "chunk long, data binary"
@@ -49,21 +49,23 @@ END = np.uint64(0x5851F42D4C957F2D)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, each in the narrowest unsigned type that holds it."""
+    """Whole numbers as bytes, each array in as many byte planes as its largest number needs."""
     out = []
     for a in arrays:
-        top = int(a.max()) if len(a) else 0
-        kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[-1]))
-        out += [struct.pack("<BQ", int(kind[-1]), len(a)), a.astype(kind).tobytes()]
+        planes = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        raw = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes]
+        out += [struct.pack("<BQ", planes, len(a)), np.ascontiguousarray(raw.T).tobytes()]
     return b"".join(out)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
-        size, n = struct.unpack_from("<BQ", raw, at)
-        out.append(np.frombuffer(raw, f"<u{size}", n, at + 9))
-        at += 9 + size * n
+        planes, n = struct.unpack_from("<BQ", raw, at)
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :planes] = np.frombuffer(raw, np.uint8, planes * n, at + 9).reshape(planes, n).T
+        out.append(a.reshape(-1).view("<u8"))
+        at += 9 + planes * n
     return out
 
 
@@ -76,7 +78,7 @@ def pack_counts(n: np.ndarray) -> bytes:
 def unpack_counts(parts: list[np.ndarray]) -> np.ndarray:
     small, big, rest = parts
     out = small.astype(np.int64)
-    out[big] = rest
+    out[big.astype(np.int64)] = rest
     return out
 
 
@@ -153,20 +155,26 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a chunk."""
     number = TaskContext.get().partitionId() << 32
     for b in words.chunks(batches, most=CHUNK_BYTES):
-        flat, at = words.split(pc.utf8_lower(b.column("text")))
-        code, distinct = words.encode(flat)
+        texts = pc.fill_null(pc.utf8_lower(b.column("text")), "").cast(pa.binary())
+        raw = b"".join(texts.to_pylist())
         ids = b.column("doc_id")
         known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
         key = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flag = pc.fill_null(b.column("target"), False).to_numpy(zero_copy_only=False)
-        data = pack(words.hashes(distinct), code, np.diff(at), flag.astype(np.uint8), known.astype(np.uint8), key.view(np.uint64))
+        data = pack(pc.binary_length(texts).to_numpy(zero_copy_only=False), flag.astype(np.uint8), known.astype(np.uint8), key.view(np.uint64))
+        data = struct.pack("<QQ", len(data), len(raw)) + data + pa.compress(raw, "zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "data"])
         number += 1
 
 
 def _loaded(data: bytes) -> tuple[Chunk, np.ndarray, np.ndarray]:
-    vocabulary, code, size, flag, known, key = unpack(data)
-    return Chunk(vocabulary.astype(np.uint64), code.astype(np.int64), size.astype(np.int64), flag), known.astype(bool), key.astype(np.uint64).view(np.int64)
+    head, length = struct.unpack_from("<QQ", data)
+    size, flag, known, key = unpack(data[16 : 16 + head])
+    raw = pa.decompress(data[16 + head :], length, "zstd") if length else pa.py_buffer(b"")
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype("<i8"))
+    flat, at = words.split(pa.LargeStringArray.from_buffers(len(size), offsets, raw))
+    code, distinct = words.encode(flat)
+    return Chunk(words.hashes(distinct), code, np.diff(at), flag), known.astype(bool), key.view(np.int64)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -176,7 +184,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int, parts: int) -> Iterator[p
             keys, order, bound = slices(chunk.keys, bits, parts)
             n_all, n_target = (n[order] for n in chunk.counts())
             full = np.flatnonzero(np.diff(bound))
-            data = [pack(np.diff(keys[a:z], prepend=np.uint64(0))) + pack_counts(n_all[a:z]) + pack_counts(n_target[a:z]) for a, z in zip(bound[full], bound[full + 1])]
+            data = [pack(keys[a : a + 1], np.diff(keys[a:z])) + pack_counts(n_all[a:z]) + pack_counts(n_target[a:z]) for a, z in zip(bound[full], bound[full + 1])]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), number), pa.int64()), pa.array(data, pa.binary())], names=["slice", "chunk", "data"])
 
 
@@ -185,10 +193,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in ANSWERED.split(", ")]
 
     def done(part: int, chunks: list[int], held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        size = [len(p[0]) for p in held]
-        keys = np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in held])
+        size = [len(p[1]) + 1 for p in held]
+        keys = np.concatenate([np.cumsum(np.concatenate(p[:2]), dtype=np.uint64) for p in held])
         distinct, at = np.unique(keys, return_inverse=True)
-        total = [np.bincount(at, np.concatenate([unpack_counts(p[k : k + 3]) for p in held]), len(distinct)).astype(np.int64) for k in (1, 4)]
+        total = [np.bincount(at, np.concatenate([unpack_counts(p[k : k + 3]) for p in held]), len(distinct)).astype(np.int64) for k in (2, 5)]
         word = distinct & np.uint64(1) == 0
         bound = np.concatenate([[0], np.cumsum(size)])
         sums = [int(word.sum()), *(int(t[word].sum()) for t in total)]
@@ -268,7 +276,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = mark_target(docs, labels)
     coded = durable.save(marked.mapInArrow(_code, CODED), "coded")
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, bits = max(1, -(-n // SLICE_BYTES)), min(64, n.bit_length() + 18)
+    parts, bits = max(1, -(-n // SLICE_BYTES)), min(64, n.bit_length() + 24)
     asked = coded.mapInArrow(lambda it: _ask(it, bits, parts), ASKED)
     answers = asked.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_answer, ANSWERED)
     answers = durable.save(answers, "answers")

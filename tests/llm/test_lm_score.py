@@ -51,7 +51,7 @@ def same(got, want):
             assert abs(g[2] - w[2]) < 1e-9 and abs(g[3] - w[3]) < 1e-9 and abs(g[4] - (w[2] - w[3])) < 1e-9
 
 
-@pytest.mark.parametrize("chunk,part,most", [(8 << 20, 16 << 20, 8_000_000), (400, 900, 8_000_000), (100, 1 << 20, 0)])
+@pytest.mark.parametrize("chunk,part,most", [(4 << 20, 8 << 20, 8_000_000), (400, 900, 8_000_000), (100, 1 << 20, 0)])
 def test_scores_against_plain_counts(spark, docs, monkeypatch, chunk, part, most):
     monkeypatch.setattr(L, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(L, "SLICE_BYTES", part)
