@@ -1,13 +1,13 @@
 """Operator 9: quality rules and a calibrated n-gram classifier.
 
-Hashed word n-grams (one and two words) and byte n-grams (three and four bytes)
+Hashed word n-grams (one and two words) and character n-grams (three and four code points)
 feed a logistic regression, trained on labelled rows and calibrated on those
 held back; whole texts are scored in Arrow batches against a fixed threshold.
 
 The classifier is fitted on at most ``MOST_LABELLED`` labelled rows, chosen by a
 hash of their id, so it does not depend on the order or partitioning of the
-input. Their texts are turned into feature counts on the executors; only these
-counts (``2 ** BITS`` numbers a row at most) reach the driver.
+input. Their texts are turned into feature counts on the executors; of these at most
+``MOST_FEATURES`` reach the driver, those of the first rows in the sample's order.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omniframe.llm import words
+from omniframe.llm import durable, words
 
-#: Bytes of text handled at a time; byte n-grams take some forty times that while they are scored.
+#: Bytes of text handled at a time; character n-grams take some forty times that while they are scored.
 CHUNK_BYTES = 2 << 20
+#: The most feature counts (8 bytes each) that the classifier is fitted on.
+MOST_FEATURES = 16_000_000
 #: The most labelled rows that the classifier is fitted on.
 MOST_LABELLED = 2000
 BITS = 18
@@ -91,9 +93,9 @@ def slots(texts: pa.Array, at: np.ndarray, code: np.ndarray, distinct: pa.Array)
             x = x[words.starts(at, 2)]
         count = np.maximum(size - width + 1, 0)
         yield ((words.mix(x) >> shift).astype(np.int32) + ((width - 1) << BITS - 2), np.concatenate([[0], np.cumsum(count)]), count)
-    blob = pc.fill_null(texts, "").cast(pa.binary())
-    length = pc.binary_length(blob).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer(b"".join(blob.to_pylist()), np.uint8).astype(np.uint32)
+    texts = pc.fill_null(texts, "")
+    length = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
     end = np.cumsum(length)
     for width in (3, 4):
         n = len(raw) - width + 1
@@ -104,7 +106,7 @@ def slots(texts: pa.Array, at: np.ndarray, code: np.ndarray, distinct: pa.Array)
             continue
         x = raw[:n].copy()
         for k in range(1, width):
-            x = x << np.uint32(8) | raw[k : n + k]
+            x = x * np.uint32(0x01000193) + raw[k : n + k]
         x *= np.uint32(2654435761)
         x ^= x >> np.uint32(15)
         x *= np.uint32(2246822519)
@@ -217,12 +219,19 @@ def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Fit on up to ``most`` labelled rows; a fifth of them is held back for the calibration.
 
-    Labels of repeated ids are averaged, null labels ignored. Without labels of both kinds the model keeps everything.
+    Labels of repeated ids are averaged, null labels and null ids ignored; a repeated id's rows all
+    count; null and empty texts have no features. Without labels of both kinds the model keeps everything.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     chosen = words.bounded_sample(chosen, F.col("doc_id"), most, ["doc_id"])
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("y", "chosen", "text")
-    got = rows.mapInArrow(features, FEATURES).toArrow().sort_by([("chosen", "ascending"), ("y", "ascending")])
+    made = durable.save(rows.mapInArrow(features, FEATURES), "features")
+    size = made.select("chosen", F.size("slot").alias("n")).toArrow().sort_by("chosen")
+    # whole rows, as many as the bound allows (rows of one id stay together)
+    within = np.cumsum(size.column("n").to_numpy()) <= MOST_FEATURES
+    if not within.all():
+        made = made.filter(F.col("chosen") < int(size.column("chosen")[int(np.argmin(within))].as_py()))
+    got = made.toArrow().sort_by([("chosen", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 1.0, 1.0, 0.0)
@@ -243,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
 def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, key: str = "doc_id") -> DataFrame:
     """key, the columns of BASE, base_failed, quality (probability) and kept of every row.
 
-    A null text has no words and fails the base rules; repeated rows are judged
-    alike; other columns are ignored.
+    A null or empty text has no words and fails the base rules; repeated rows are judged
+    alike, null keys like others; an empty table gives no row; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -265,13 +274,16 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, key: str
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of every document."""
+    """doc_id, the base counts, base_failed and kept of every document; odd rows as in ``judge``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judge(docs, train(docs, labels)).drop("quality")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that are kept, with all columns, judged in one pass and without a shuffle."""
+    """Pipeline stage: the documents that are kept, with all columns, judged in one pass and without a shuffle.
+
+    Null and empty texts go (they fail the base rules), repeated rows stay or go together, an empty table stays empty; columns may have any names.
+    """
     cols = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from omniframe.llm import language, quality, url_filter, words
 
@@ -109,3 +110,55 @@ def test_forward_backward_against_all_labellings():
                     pair[y[i - 1], y[i]] += p
         want[a:z], both = acc / total, both + pair / total
     assert np.allclose(got, want, atol=1e-6) and np.allclose(pairs, both, atol=1e-6)
+
+
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def mixed(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & M64
+    return x ^ x >> 32
+
+
+def brute_features(t):
+    """Slot to relative frequency, n-gram by n-gram."""
+    out = Counter()
+    bits = quality.BITS - 2
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", t)]
+    for width in (1, 2):
+        grams = h if width == 1 else [(a + mixed(b)) & M64 for a, b in zip(h, h[1:])]
+        for g in grams:
+            out[(mixed(g) >> 64 - bits) + (width - 1 << bits)] += 1 / len(grams)
+    for width in (3, 4):
+        n = len(t) - width + 1
+        for i in range(max(n, 0)):
+            x = 0
+            for c in t[i : i + width]:
+                x = (x * 0x01000193 + ord(c)) & M32
+            x = x * 2654435761 & M32
+            x = (x ^ x >> 15) * 2246822519 & M32
+            out[(x >> 32 - bits) + (width - 1 << bits)] += 1 / n
+    return out
+
+
+def test_quality_against_plain_sums(spark, docs):
+    """Every row's probability and verdict from features counted one by one."""
+    texts = [None, "", "ab", "日本語のテキスト です", "жизнь и речь", "a b", "é", "😀 😀😀 x", text(EN, 60), text(DE, 200), "x" * 5000, "word " * 30_000]
+    rng = np.random.default_rng(6)
+    model = quality.Model(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.3, 1.7, -0.2)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for r in quality.judge(docs(rows), model).collect():
+        raw = 0.3 + sum(float(model.weight[s]) * v for s, v in brute_features(texts[r.doc_id] or "").items())
+        p = 1 / (1 + np.exp(-np.clip(1.7 * raw - 0.2, -50, 50)))
+        n, _, _, _, again = brute_counts(texts[r.doc_id])
+        failed = n < 10 or 100 * again > 20 * n
+        assert abs(r.quality - p) < 1e-6 and r.base_failed == failed and r.kept == (not failed and r.quality >= quality.KEEP_FROM)
+
+
+def test_few_features_are_enough_to_fit(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_FEATURES", 9000)
+    rows = [(k, text(EN, 60) if k % 3 else re.sub(" ", "*** ", text(EN, 60))) for k in range(160)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs(rows), quality.train(docs(rows), labels)).collect()
+    assert sum((r.quality >= 0.5) == (r.doc_id % 3 > 0) for r in got) > 150
