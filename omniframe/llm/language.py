@@ -1,16 +1,17 @@
 """Operator 7: language of every word, and so of every text, by a linear-chain CRF.
 
 Each word is a node; its features are its hashed byte n-grams of two to four bytes,
-where marks of the word's ends count as bytes (those with a mark are the affixes), and
-the word itself (the lexicon). Transitions between neighbouring words'
+where marks of the word's ends count as bytes (those with a mark are the affixes),
+the word itself, and its entry in a lexicon: for each language, how large its
+share is among the occurrences of the word in the labelled texts. Transitions between neighbouring words'
 languages are learned with them. Forward-backward gives each word's
 probabilities, so code-switched text gets its words labelled one by one; a text's
 language is the one with the highest mean probability over its words with a
 letter, and the score is that mean.
 
-The CRF is fitted on at most ``MOST_DOCS`` labelled documents, chosen by a hash
-of their id; a training sequence joins spans of up to ``SPAN`` words from random
-places of one or two of them, so that changes of language are seen too.
+The CRF is fitted on whole texts of at most ``MOST_DOCS`` labelled documents, chosen by a hash
+of their id, as many as ``MOST_BYTES`` hold. They are cut into stretches of ``SPAN`` words, all of
+which are used; every third stretch is joined with one of another document, so that changes of language are seen too.
 Whole texts are labelled, in Arrow batches; all texts of a batch step
 through the recursions together.
 """
@@ -26,18 +27,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omniframe.llm import words
+from omniframe.llm import durable, words
 
 MOST_DOCS = 2000
-SPAN = 40
+#: Bytes of labelled text that reach the driver.
+MOST_BYTES = 8 << 20
+SPAN = 60
+#: A word is in the lexicon from so many occurrences on; its shares are told in so many steps.
+LEAST_SEEN, STEPS = 3, 3
 BITS = 17
-EPOCHS = 40
+EPOCHS = 12
 RATE = 0.3
 TAGGED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def word_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all distinct words in order, and each word's offsets in them."""
+def word_features(distinct: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Feature slots of all distinct words in order, and each word's offsets in them."""
     n = len(distinct)
     names = pc.ascii_lower(distinct.cast(pa.string())).cast(pa.binary()).to_pylist()
     raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in names), np.uint8).astype(np.uint32)
@@ -56,14 +61,46 @@ def word_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             x ^= x >> np.uint32(13)
         own.append(owner[:k][inside])
         value.append((x[inside] >> shift).astype(np.int64))
-    o = np.concatenate(own)
+    entry, place = lexicon.features(distinct)
+    o = np.concatenate([*own, entry])
     order = np.argsort(o, kind="stable")
-    return np.concatenate(value)[order], np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n))])
+    return np.concatenate([*value, place])[order], np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n))])
+
+
+@dataclass
+class Lexicon:
+    """Words (their hashes, sorted) and for each language the step of its share, 0 for hardly any."""
+
+    words: np.ndarray
+    step: np.ndarray
+
+    @classmethod
+    def of(cls, distinct: pa.Array, count: np.ndarray) -> Lexicon:
+        """From distinct words and their occurrences by language."""
+        h = words.hashes(pc.ascii_lower(distinct.cast(pa.string())), 9)
+        names, at = np.unique(h, return_inverse=True)
+        total = np.stack([np.bincount(at, c, len(names)) for c in count.T], axis=1)
+        seen = total.sum(axis=1)
+        keep = seen >= LEAST_SEEN
+        share = total[keep] / seen[keep][:, None]
+        return cls(names[keep], np.minimum((share * (STEPS + 1)).astype(np.int64), STEPS))
+
+    def features(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word's number, slot) of every entry; slots follow those of the hashed features."""
+        if not len(self.words) or not len(distinct):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = words.hashes(pc.ascii_lower(distinct.cast(pa.string())), 9)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = np.flatnonzero(self.words[at] == h)
+        step = self.step[at[known]]
+        own, lang = np.nonzero(step)
+        return known[own], (1 << BITS) + lang * STEPS + step[own, lang] - 1
 
 
 @dataclass
 class Crf:
     langs: list[str]
+    lexicon: Lexicon
     weight: np.ndarray  # slots x languages
     move: np.ndarray  # language before x language
     begin: np.ndarray
@@ -71,7 +108,7 @@ class Crf:
     def emissions(self, distinct: pa.Array) -> np.ndarray:
         if not len(distinct):
             return np.zeros((0, len(self.langs)), np.float32)
-        slot, at = word_features(distinct)
+        slot, at = word_features(distinct, self.lexicon)
         return np.add.reduceat(self.weight[slot], at[:-1], axis=0) / np.diff(at)[:, None] ** 0.5
 
     def marginals(self, emit: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -121,25 +158,25 @@ def forward_backward(emit: np.ndarray, at: np.ndarray, move: np.ndarray, begin:
 
 def train(rows: list[tuple[str, str]]) -> Crf | None:
     """Fit on (language, text) rows in the order given; None if there is none with a word."""
-    rows = [(y, [w for w in t.split() if w]) for y, t in rows]
-    rows = [r for r in rows if r[1]]
-    langs = sorted({y for y, _ in rows})
+    rows = [(y, words.split(pa.array([t]))[0].to_pylist()) for y, t in rows]
+    langs = sorted({y for y, w in rows if w})
     if not langs:
         return None
     rng = np.random.default_rng(7)
+    parts = [(y, w[a : a + SPAN]) for y, w in rows for a in range(0, len(w), SPAN)]
     flat, label, at = [], [], [0]
-    for k in range(len(rows)):
-        for y, w in [rows[k]] if k % 3 else [rows[k], rows[int(rng.integers(len(rows)))]]:
-            s = int(rng.integers(max(1, len(w) - SPAN + 1)))
-            part = w[s : s + SPAN]
-            flat += part
-            label += [langs.index(y)] * len(part)
+    for k in range(len(parts)):
+        for y, w in [parts[k]] if k % 3 else [parts[k], parts[int(rng.integers(len(parts)))]]:
+            flat += w
+            label += [langs.index(y)] * len(w)
         at.append(len(flat))
     code, distinct = words.encode(pa.array(flat, pa.string()))
-    slot, bound = word_features(distinct)
-    own = np.repeat(np.arange(len(distinct)), np.diff(bound))
     n, offsets, y = len(langs), np.array(at), np.array(label)
-    model = Crf(langs, np.zeros((1 << BITS, n)), np.zeros((n, n)), np.zeros(n))
+    lexicon = Lexicon.of(distinct, np.stack([np.bincount(code[y == j], minlength=len(distinct)) for j in range(n)], axis=1))
+    slot, bound = word_features(distinct, lexicon)
+    size = (1 << BITS) + n * STEPS
+    own = np.repeat(np.arange(len(distinct)), np.diff(bound))
+    model = Crf(langs, lexicon, np.zeros((size, n)), np.zeros((n, n)), np.zeros(n))
     scale = (1 / np.diff(bound) ** 0.5)[:, None]
     inner = np.ones(len(y), bool)
     inner[offsets[:-1]] = False
@@ -147,12 +184,13 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     true_pairs = np.zeros((n, n))
     np.add.at(true_pairs, (y[p - 1], y[p]), 1)
     true = np.eye(n)[y]
-    seen_w, seen_m, seen_b = np.full((1 << BITS, n), 1e-8), np.full((n, n), 1e-8), np.full(n, 1e-8)
+    seen_w, seen_m, seen_b = np.full((size, n), 1e-8), np.full((n, n), 1e-8), np.full(n, 1e-8)
     for _ in range(EPOCHS):
-        prob, pairs = forward_backward(model.emissions(distinct)[code], offsets, model.move, model.begin)
+        emit = np.add.reduceat(model.weight[slot], bound[:-1], axis=0) * scale
+        prob, pairs = forward_backward(emit[code], offsets, model.move, model.begin)
         miss = (prob - true) / len(y)
         by_word = np.stack([np.bincount(code, miss[:, j], minlength=len(distinct)) for j in range(n)], axis=1) * scale
-        grad = np.stack([np.bincount(slot, by_word[own, j], minlength=1 << BITS) for j in range(n)], axis=1) + 1e-7 * model.weight
+        grad = np.stack([np.bincount(slot, by_word[own, j], minlength=size) for j in range(n)], axis=1) + 1e-7 * model.weight
         gm, gb = (pairs - true_pairs) / len(y) + 1e-4 * model.move, miss[offsets[:-1]].sum(axis=0)
         for x, g, seen in ((model.weight, grad, seen_w), (model.move, gm, seen_m), (model.begin, gb, seen_b)):
             seen += g * g
@@ -166,14 +204,22 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, most: int = MOST_DOCS) -> list[tuple[str, str]]:
-    """Up to ``most`` labelled rows outside the held-out fifth, by a hash of the id; of each a random stretch of at most 16,000 characters reaches the driver."""
+    """Whole texts of up to ``most`` labelled rows outside the held-out fifth, by a hash of the id, as many as MOST_BYTES hold.
+
+    Only sizes are gathered first; a text that does not fit into what is left of the bound is passed over.
+    """
     pool = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = words.bounded_sample(pool.select("doc_id").distinct(), F.col("doc_id"), most, ["doc_id"])
-    begin = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 16000, F.lit(1))) + 1).cast("int")
-    rows = pool.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("chosen", "doc_id", "lang", F.substring("text", begin, F.lit(16000)).alias("text"))
+    rows = pool.filter(F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES)).join(F.broadcast(ids), "doc_id").select("chosen", "doc_id", "lang", "text")
     # an id may repeat; its first row by language and text stands for it
-    first = rows.groupBy("chosen", "doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
-    return [(r.r.lang, r.r.text) for r in sorted(first.collect(), key=lambda r: (r.chosen, r.doc_id))]
+    first = durable.save(rows.groupBy("chosen", "doc_id").agg(F.min(F.struct("lang", "text")).alias("r")), "labelled")
+    left, fits = MOST_BYTES, []
+    for r in sorted(first.select("chosen", "doc_id", F.octet_length("r.text").alias("n")).collect()):
+        if r.n <= left:
+            left -= r.n
+            fits.append(r.doc_id)
+    got = first.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], "doc_id long")), "doc_id").collect()
+    return [(r.r.lang, r.r.text) for r in sorted(got, key=lambda r: (r.chosen, r.doc_id))]
 
 
 def label(docs: DataFrame, model: Crf | None) -> DataFrame:
@@ -181,7 +227,8 @@ def label(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text if nothing could be learned. Words without a letter take part in the
-    chain but not in the mean. Repeated rows are labelled alike; other columns are ignored.
+    chain but not in the mean. Repeated rows are labelled alike, a null id is not held out; an
+    empty table gives no row; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,6 +262,6 @@ def label_words(model: Crf, text: str) -> list[tuple[str, str, float]]:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred and score of every document; odd rows as in ``label``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return label(docs, train(sample(docs)))
