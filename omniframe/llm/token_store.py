@@ -51,7 +51,7 @@ SLOT = np.dtype([("mark", "<u4"), ("first", "<u4"), ("count", "<u4")])
 LOAD = 4  # keys a bucket of the perfect hash
 MANIFEST = "shard long, n_docs long, n_ids long, first_key long, last_key long"
 #: Bytes of text in one shard.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Smaller inputs are cut into as many shards as there are cores, of at least so many bytes.
 LEAST_BYTES = 1 << 20
 #: Ids read at a time.
