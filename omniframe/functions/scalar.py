@@ -80,7 +80,6 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "array::boolean_not": "transform({0}, x -> not coalesce(boolean(x), false))",
     "array::logical_and": "zip_with({0}, {1}, (x, y) -> if(coalesce(boolean(x), false), y, x))",
     "array::logical_or": "zip_with({0}, {1}, (x, y) -> if(coalesce(boolean(x), false), x, y))",
-    "array::logical_xor": "zip_with({0}, {1}, (x, y) -> if(coalesce(boolean(x), false) and not coalesce(boolean(y), false), x, if(coalesce(boolean(y), false) and not coalesce(boolean(x), false), y, null)))",
     "array::clump": "if(size({0}) = 0, slice(array({0}), 1, 0), transform(sequence(0, (size({0}) - 1) div cast({1} as int)), i -> slice({0}, cast(i * {1} as int) + 1, cast({1} as int))))",
     "array::combine": "flatten(transform({0}, x -> transform({1}, y -> array(x, y))))",
     "array::complement": "filter({0}, x -> not array_contains({1}, x))",

@@ -88,6 +88,15 @@ def _indexes(n: A.Call, scope: Scope) -> str:
     return f"transform(filter(transform({flags}, (f, i) -> struct(f, bigint(i) as i)), s -> s.f), s -> s.i)"
 
 
+@special("array::logical_xor")
+def _logical_xor(n: A.Call, scope: Scope) -> Val:
+    """The truthy one of each pair; of two that are not, the first; of two that are, false."""
+    a, b = (compile(x, scope) for x in n.args)
+    kind = element(a)
+    neither = "false" if kind == T.BooleanType() else f"CAST(NULL AS {kind.simpleString()})"
+    return typed(scope, f"zip_with({a.sql}, {b.sql}, (x, y) -> if(not coalesce(boolean(y), false), x, if(not coalesce(boolean(x), false), y, {neither})))")
+
+
 @special("array::filter_index")
 def _filter_index(n: A.Call, scope: Scope) -> Val:
     return Val(_indexes(n, scope), T.ArrayType(T.LongType()))

@@ -14,11 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from omniframe.plans.catalog import Catalog, Table
+from omniframe.plans.catalog import Table
 
 MOST_LEVELS = 256
 
 
+class RecursionLimit(ValueError):
+    """A walk that would go on for too many levels."""
+
+
 @dataclass
 class Walk:
     """rows: _src (start), _ord (order so far, an array of strings), _at (where the walk stands)."""
@@ -55,19 +59,21 @@ def pad(col, kind) -> F.Column:  # noqa: ANN001
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def pairs(catalog: Catalog, hops: list[tuple[str, str]]) -> DataFrame:
-    """(_from, _to) of a chain of (direction, edge table) hops with node tables between."""
+def pairs(hops: list[tuple[str, Table, DataFrame]]) -> DataFrame:
+    """(_from, _to) of a chain of (direction, edge table, its rows) hops with node tables between."""
     out = None
-    for direction, name in hops:
-        t = catalog.table(name)
-        e = edge_rows(t, direction, t.df()).select(F.col("_met").alias("_from"), F.col("_reached").alias("_to"))
+    for direction, t, rows in hops:
+        e = edge_rows(t, direction, rows).select(F.col("_met").alias("_from"), F.col("_reached").alias("_to"))
         out = e if out is None else out.join(e.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end")), F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to"))
     return out
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """One level, cut from its lineage; written to the cluster's checkpoint folder where there is one."""
     spark = df.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return df.checkpoint()
     return df.cache()
 
@@ -81,8 +87,18 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
     - collect: (start, node, depth): every node that is reached, once, at its smallest depth;
     - path: (start, path): every path as an array of nodes, ended by ``most`` or a dead end; nodes do not repeat in a path;
     - shortest: (start, path): a shortest path to ``target`` (the smallest of equals), for starts that reach it.
+
+    A walk without a bound that goes on after MOST_LEVELS hops is an error, as is a bound above it.
     """
-    limit = min(most or MOST_LEVELS, MOST_LEVELS)
+    if most is not None and most > MOST_LEVELS:
+        raise RecursionLimit(f"a walk of {most} levels is beyond the limit of {MOST_LEVELS}")
+    limit = most or MOST_LEVELS
+
+    def beyond(level: int) -> bool:
+        if most is None and level == limit:
+            raise RecursionLimit(f"the walk goes on after {MOST_LEVELS} levels")
+        return False
+
     s = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
     h = hop.select("_from", "_to").filter("_from IS NOT NULL AND _to IS NOT NULL").distinct()
     if how == "collect":
@@ -93,27 +109,26 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
             new = _cut(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
             if new.isEmpty():
                 break
+            beyond(level)
             seen, front = seen.unionByName(new), new
         return seen.filter(F.col("depth") >= (0 if inclusive else max(least, 1)))
-    if how in ("path", "shortest"):
+    if how == "shortest":
+        return _shortest(s, h, limit, most, target, inclusive)
+    if how == "path":
         paths = s.select("start", F.array("start").alias("path"))
         done = None
         for level in range(1, limit + 1):
             grown = paths.join(h, F.element_at("path", -1) == F.col("_from"), "left")
             onward = grown.filter(F.col("_to").isNotNull() & ~F.array_contains("path", F.coalesce("_to", F.element_at("path", -1))))
             new = _cut(onward.select("start", F.array_append("path", F.col("_to")).alias("path")))
-            if how == "shortest":
-                hit = new.filter(F.element_at("path", -1) == F.lit(target)).groupBy("start").agg(F.min("path").alias("path"))
-                done = hit if done is None else done.unionByName(hit)
-                new = _cut(new.join(hit.select("start"), "start", "left_anti"))
-            else:
-                alive = new.select("start", F.slice("path", 1, level).alias("path")).distinct()
-                ended = paths.join(alive, ["start", "path"], "left_anti").filter(F.size("path") > least)
-                done = ended if done is None else done.unionByName(ended)
+            alive = new.select("start", F.slice("path", 1, level).alias("path")).distinct()
+            ended = paths.join(alive, ["start", "path"], "left_anti").filter(F.size("path") > least)
+            done = ended if done is None else done.unionByName(ended)
             paths = new
             if new.isEmpty():
                 break
-        if how == "path" and most is not None:
+            beyond(level)
+        if most is not None:
             done = done.unionByName(paths.filter(F.size("path") > least))
         first = 1 if inclusive else 2
         return done.select("start", F.expr(f"slice(path, {first}, size(path))").alias("path")).filter(F.size("path") > 0)
@@ -127,9 +142,30 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
         front = _cut(grown.filter("_to IS NOT NULL").select("start", F.col("_to").alias("node")).distinct())
         if front.isEmpty():
             break
+        beyond(level)
     return front if ended is None else ended.unionByName(front).distinct()
 
 
+def _shortest(s: DataFrame, h: DataFrame, limit: int, most: int | None, target: object, inclusive: bool) -> DataFrame:
+    """Breadth first: a node is kept once a start, with the smallest of its shortest paths; starts that have arrived stop."""
+    front = s.select("start", F.col("start").alias("node"), F.array("start").alias("path"))
+    seen = front.select("start", "node")
+    done = None
+    for level in range(1, limit + 1):
+        step = front.join(h, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"))
+        new = _cut(step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+        hit = new.filter(F.col("node") == F.lit(target)).select("start", "path")
+        done = hit if done is None else done.unionByName(hit)
+        if new.isEmpty():
+            break
+        if most is None and level == limit:
+            raise RecursionLimit(f"the walk goes on after {MOST_LEVELS} levels")
+        seen = seen.unionByName(new.select("start", "node"))
+        front = new.join(hit.select("start"), "start", "left_anti")
+    first = 1 if inclusive else 2
+    return done.select("start", F.expr(f"slice(path, {first}, size(path))").alias("path")).filter(F.size("path") > 0)
+
+
 def tree(starts: DataFrame, hop: DataFrame, depth: int) -> DataFrame:
     """(start, tree): nested (node, children) structures of the walk, put together from the bottom level up."""
     s = starts.select(F.col(starts.columns[0]).alias("node")).distinct()

@@ -400,9 +400,10 @@ def relate(r: Runner, c: dict[str, Any]) -> Any:
     rows = storage.once(r.engine, ruled(r, t, rows))
     refuse_repeats(t, rows)
     for side, col in (("from_table", "in"), ("to_table", "out")):
-        if not getattr(t.edge, side):
-            first = rows.select(col).first()
-            setattr(t.edge, side, first[0].split(":")[0] if first and first[0] else "")
+        met = t.info.setdefault("ends", {}).setdefault(side, {getattr(t.edge, side)} - {""})
+        met |= {x[0] for x in rows.select(F.substring_index(col, ":", 1)).distinct().toLocalIterator() if x[0]}
+        # edges to several tables have no one end
+        setattr(t.edge, side, next(iter(met)) if len(met) == 1 else "")
     commit(r, t, joined(t.df(), rows), None, rows, "CREATE")
     return returned(r, c.get("return"), t, None, rows, "after", c["only"])
 

@@ -381,11 +381,11 @@ class Planner:
         key, rec = self.fresh("fk"), self.fresh("fr")
         side = rows.select(F.col(right.key).alias(key), F.struct(*rows.columns).alias(rec))
         if isinstance(out.schema[name].dataType, T.ArrayType):
+            # each distinct array is looked up once and joined back by its own value
             number = self.fresh("row")
-            numbered = out.withColumn(number, F.monotonically_increasing_id())
-            each = numbered.select(number, F.posexplode(name).alias("_pos", "_item")).join(side, F.col("_item") == F.col(key), "left")
+            each = out.select(F.col(name).alias(number)).distinct().select(number, F.posexplode(number).alias("_pos", "_item")).join(side, F.col("_item") == F.col(key), "left")
             each = each.groupBy(number).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", rec))), lambda x: x[rec]).alias(rec))
-            both = numbered.join(each, number, "left").drop(number)
+            both = out.join(each, F.col(name).eqNullSafe(F.col(number)), "left").drop(number)
         else:
             both = out.join(side, F.col(name) == F.col(key), "left")
         return both.select(*[F.col(rec).alias(c) if c == name else F.col(quote(c)) for c in out.columns])
@@ -425,37 +425,95 @@ class Planner:
 
     def follow_array(self, v: Val, field: str, right: Any) -> Val:
         rows = right.df()
-        number, out = self.fresh("n"), self.fresh("f")
-        base = self.df.withColumn(number, F.monotonically_increasing_id())
+        number, out, items = self.fresh("n"), self.fresh("f"), self.fresh("i")
+        self.df = self.df.withColumn(items, F.expr(v.sql))
         side = rows.select(F.col(right.key).alias("_rk"), F.col(quote(field)).alias("_rv"))
-        each = base.select(number, F.posexplode(F.expr(v.sql)).alias("_p", "_i")).join(side, F.col("_i") == F.col("_rk"), "left").groupBy(number).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_rv"))), lambda x: x["_rv"]).alias(out))
-        self.df = base.join(each, number, "left")
+        # each distinct array is looked up once and joined back by its own value
+        each = self.df.select(F.col(items).alias(number)).distinct().select(number, F.posexplode(number).alias("_p", "_i")).join(side, F.col("_i") == F.col("_rk"), "left")
+        each = each.groupBy(number).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_rv"))), lambda x: x["_rv"]).alias(out))
+        self.df = self.df.join(each, F.col(items).eqNullSafe(F.col(number)), "left")
         return Val(f"coalesce({out}, array())", T.ArrayType(rows.schema[field].dataType), link=right.links.get(field))
 
-    def walk(self, parts: list[A.Part], extra: dict[str, str] | None = None) -> tuple[DataFrame, str, str | None]:
-        """Rows (_src, _ord, _at and the last table's columns) of a chain of graph steps; the last table; its kind."""
+    def walk(self, parts: list[A.Part], fields: bool = False) -> tuple[DataFrame, str | None, str | None]:
+        """Rows (_src, _ord, _at and the last table's columns) of a chain of graph steps; the last table; its kind.
+
+        Steps that name several tables, or any (``?``), are walked along every way through them and
+        united in the order of the tables; the last table is None if the ways end at different ones.
+        """
+        for p in parts[:-1]:
+            if p.value.order or p.value.limit is not None or p.value.start is not None:
+                raise QueryError("ORDER, LIMIT and START can only stand in a walk's last step")
+        ways = self.ways(parts, fields)
+        if not ways:
+            raise QueryError(f"no table fits {parts[0].value.tables}")
+        found = [self.walk_way(parts, names, len(ways) > 1) for names in ways]
+        if len(found) == 1:
+            return found[0]
+        frames = [rows.withColumn("_ord", F.concat(F.array(F.lit(f"{k:06d}")), "_ord")) for k, (rows, _, _) in enumerate(found)]
+        kinds: dict[str, set[str]] = {}
+        for f in frames:
+            for x in f.schema.fields:
+                kinds.setdefault(x.name, set()).add(x.dataType.simpleString())
+        mixed = [c for c, k in kinds.items() if len(k) > 1]
+        frames = [f.withColumns({c: F.col(quote(c)).cast("string") for c in mixed if c in f.columns}) for f in frames]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f, allowMissingColumns=True)
+        tables, ends = {t for _, t, _ in found}, {k for _, _, k in found}
+        return out, tables.pop() if len(tables) == 1 else None, ends.pop() if len(ends) == 1 else None
+
+    def ways(self, parts: list[A.Part], fields: bool) -> list[list[str | None]]:
+        """The table of each step, for every way through steps that name several tables or any."""
+        out: list[tuple[list[str | None], str | None, bool]] = [([], self.scope.table, False)]
+        for k, p in enumerate(parts):
+            only_ids = k == len(parts) - 1 and not fields
+            out = [([*names, n], at, edge) for names, table, on_edge in out for n, at, edge in self.step_tables(p.value, table, on_edge, only_ids)]
+        return [names for names, _, _ in out]
+
+    def step_tables(self, g: A.Graph, table: str | None, on_edge: bool, only_ids: bool) -> list[tuple[str | None, str | None, bool]]:
+        """(named table, table that is reached, whether it holds edges) of the ways on from a table."""
+        known, any_ = self.catalog.tables, g.tables == ["*"]
+        if g.direction == "ref":
+            names = sorted(t.name for t in known.values() if table in t.links.values()) if any_ else g.tables
+            return [(n, n, False) for n in names]
+        if not on_edge:
+            if not any_:
+                return [(n, n, True) for n in g.tables]
+            fits = lambda e: {"out": e.from_table in ("", table), "in": e.to_table in ("", table), "both": table in (e.from_table, e.to_table) or "" in (e.from_table, e.to_table)}[g.direction]
+            return [(n, n, True) for n in sorted(t.name for t in known.values() if t.edge and (table is None or fits(t.edge)))]
+        e = known[table].edge
+        ends = list(dict.fromkeys({"out": [e.to_table], "in": [e.from_table], "both": [e.to_table, e.from_table]}[g.direction]))
+        if any_:
+            if only_ids:
+                return [(None, ends[0], False)]
+            nodes = ends if all(ends) else sorted(t.name for t in known.values() if not t.edge and t.key and not t.info.get("plain_key"))
+            return [(n, n, False) for n in nodes]
+        edge = lambda n: bool(n in known and known[n].edge)
+        return [(n, n, edge(n)) for n in g.tables if not all(ends) or n in ends or edge(n) or n not in known]
+
+    def walk_way(self, parts: list[A.Part], names: list[str | None], several: bool) -> tuple[DataFrame, str | None, str | None]:
         rows, table, on_edge = None, self.scope.table, False
-        for p in parts:
+        for p, name in zip(parts, names):
             g: A.Graph = p.value
-            names = [t for t in g.tables]
-            if names == ["*"]:
-                names = [t.name for t in self.catalog.tables.values() if t.edge] if not on_edge else [None]
-            name = names[0]
             if g.direction == "ref":
                 t = self.catalog.table(name)
-                col = next(c for c, target in t.links.items() if target == table)
+                col = next((c for c, target in t.links.items() if target == table), None)
+                if col is None:
+                    raise QueryError(f"{name} has no field that refers to {table}")
                 side = self.filtered(t.name, g)
                 side = side.withColumns({"_met": F.col(col), "_eo": F.concat_ws("\x01", *[graph.pad(F.col(c), side.schema[c].dataType) for c in t.sort])})
                 rows = self.join_step(rows, side, F.col(t.key) if t.key else F.lit(None))
                 table, on_edge = name, False
                 continue
             t = self.catalog.tables.get(name) if name else None
-            if on_edge and (t is None or not t.edge or t.name != table and not t.edge):
+            if on_edge and (t is None or not t.edge):
                 # from an edge to the node at its end
                 if t is not None:
                     n = self.filtered(t.name, g)
                     rows = rows.join(n.select(*[F.col(quote(c)).alias("_n_" + c) for c in n.columns]), F.col("_reached") == F.col("_n_" + t.key)).select("_src", "_ord", F.col("_reached").alias("_at"), *[F.col("_n_" + c).alias(c) for c in n.columns])
                     table = t.name
+                elif name:
+                    raise QueryError(f"there is no table {name}")
                 else:
                     e = self.catalog.table(table).edge
                     table = e.to_table if g.direction == "out" else e.from_table
@@ -467,6 +525,9 @@ class Planner:
             side = graph.edge_rows(t, g.direction, self.filtered(t.name, g))
             rows = self.join_step(rows, side, F.col("_reached"))
             table, on_edge = t.name, True
+        if several and on_edge:
+            key = self.catalog.table(table).key
+            rows = rows.withColumn("_rid", F.col(quote(key)).cast("string") if key and key in rows.columns else F.lit(None).cast("string"))
         return rows, table, "edge" if on_edge else None
 
     def filtered(self, name: str, g: A.Graph) -> DataFrame:
@@ -502,25 +563,25 @@ class Planner:
         steps, rest = parts[:k], parts[k:]
         mark = ("graph", repr(parts), v.sql if v is not None else "")
         if mark not in self.joined:
-            rows, table, kind = self.walk_from(v, steps)
-            inner = Planner(self.catalog, self.params)
-            inner.df, inner.scope.table = rows, table
             fields = []
             while rest and rest[0].kind in ("field", "all", "destructure"):
                 fields.append(rest.pop(0))
+            rows, table, kind = self.walk_from(v, steps, bool(fields))
+            inner = Planner(self.catalog, self.params)
+            inner.df, inner.scope.table = rows, table
             if fields and fields[0].kind == "all":
                 value = C.this(inner.scope)
                 fields = fields[1:]
             elif fields:
                 value = compile(A.Idiom(None, fields), inner.scope) if fields[0].kind == "field" else C.part(C.this(inner.scope), fields[0], inner.scope)
+            elif kind == "edge" and table is None:
+                value = Val("`_rid`", T.StringType())
             else:
-                t = self.catalog.table(table)
-                value = Val(quote(t.key), T.NullType()) if t.key and t.key in rows.columns and kind == "edge" else Val("`_at`", T.NullType())
+                t = self.catalog.tables.get(table or "")
+                value = Val(quote(t.key), T.NullType()) if t and t.key and t.key in rows.columns and kind == "edge" else Val("`_at`", T.NullType())
             name = self.fresh("g")
-            g = steps[-1].value
-            found = inner.df.selectExpr("_src", "_ord", f"{value.sql} AS _v").groupBy(F.col("_src").alias(name + "_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_v"))), lambda x: x["_v"]).alias(name))
-            if g.limit is not None:
-                found = found.withColumn(name, F.slice(name, 1, int(constant(g.limit, self.catalog, self.params))))
+            found = self.in_order(inner, rows.selectExpr("*", f"{value.sql} AS _v"), steps[-1].value)
+            found = found.groupBy(F.col("_src").alias(name + "_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_v"))), lambda x: x["_v"]).alias(name))
             key = quote(self.key()) if v is None else v.sql
             self.df = self.df.join(found, F.expr(key) == F.col(name + "_k"), "left")
             self.joined[mark] = name
@@ -531,12 +592,25 @@ class Planner:
             out = C.part(out, p, scope)
         return out
 
-    def walk_from(self, v: Val | None, steps: list[A.Part]) -> tuple[DataFrame, str, str | None]:
+    def in_order(self, inner: Planner, rows: DataFrame, g: A.Graph) -> DataFrame:
+        """(_src, _place, _v) with the step's ORDER, START and LIMIT applied to each start's rows."""
+        if not g.order and g.limit is None and g.start is None:
+            return rows.select("_src", F.col("_ord").alias("_place"), "_v")
+        first = int(constant(g.start, self.catalog, self.params)) if g.start is not None else 0
+        inner.df = rows
+        ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_src").orderBy(*[inner.order_column(o) for o in g.order], "_ord")))
+        if first:
+            ranked = ranked.filter(F.col("_place") > first)
+        if g.limit is not None:
+            ranked = ranked.filter(F.col("_place") <= first + int(constant(g.limit, self.catalog, self.params)))
+        return ranked.select("_src", "_place", "_v")
+
+    def walk_from(self, v: Val | None, steps: list[A.Part], fields: bool = False) -> tuple[DataFrame, str | None, str | None]:
         if v is not None and v.link:
             p = Planner(self.catalog, self.params)
             p.scope.table = v.link
-            return p.walk(steps)
-        return self.walk(steps)
+            return p.walk(steps, fields)
+        return self.walk(steps, fields)
 
     def recursion(self, v: Val | None, parts: list[A.Part], scope: Scope) -> Val:
         """record.{1..3+collect}(->edge->node): levels of joins from the frame's keys."""
@@ -544,11 +618,22 @@ class Planner:
         t = self.catalog.tables.get((v.link if v is not None and v.link else None) or self.scope.table or "")
         steps = r.parts
         if steps and steps[0].kind == "graph":
-            hops = []
-            for k, p in enumerate(steps):
-                if p.kind == "graph" and (e := self.catalog.tables.get(p.value.tables[0])) is not None and e.edge:
-                    hops.append((p.value.direction, e.name))
-            hop = graph.pairs(self.catalog, hops)
+            if any(p.kind != "graph" for p in steps):
+                raise QueryError("a repeated path holds graph steps only, or one field")
+            if any(p.value.order or p.value.limit is not None or p.value.start is not None for p in steps):
+                raise QueryError("ORDER, LIMIT and START have no place in a repeated step")
+            at = Planner(self.catalog, self.params)
+            at.scope.table = t.name if t else self.scope.table
+            hop = None
+            for names in at.ways(steps, False):
+                hops = [(p.value.direction, e, at.filtered(n, p.value)) for p, n in zip(steps, names) if n and (e := self.catalog.table(n)).edge]
+                nodes = [(i, self.catalog.table(n), at.filtered(n, p.value)) for i, (p, n) in enumerate(zip(steps, names)) if n and not self.catalog.table(n).edge and p.value.where is not None]
+                one = graph.pairs(hops)
+                if any(i != len(steps) - 1 for i, _, _ in nodes):
+                    raise QueryError("a condition on a node can only stand in a repeated path's last step")
+                for _, table, rows in nodes:
+                    one = one.join(rows.select(F.col(table.key).alias("_n")), F.col("_to") == F.col("_n"), "left_semi")
+                hop = one if hop is None else hop.unionByName(one)
         else:
             field = steps[0].value
             rows = t.df()

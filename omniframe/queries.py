@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from omniframe import queries_functions
 from omniframe.engine import star
 from omniframe.operators import fulltext, graph
+from omniframe.plans.catalog import Edge
 from omniframe.streaming import live, views
 
 #: name: (query, equivalent SQL)
@@ -30,7 +32,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "where_truthy": ("SELECT doc_id, toxic FROM labels WHERE toxic", "SELECT doc_id, toxic FROM labels WHERE toxic <> 0"),
     "where_in": ("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ['1-URGENT', '2-HIGH']", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "where_not_in": ("SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ['1-URGENT', '2-HIGH']", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
-    "where_range": ("SELECT o_orderkey FROM orders WHERE o_totalprice IN 1000..=50000 AND o_orderkey % 2 = 0", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderkey % 2 = 0"),
+    "where_range": ("SELECT o_orderkey FROM orders WHERE o_totalprice IN 1000..=50000 AND o_orderstatus = 'F'", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderstatus = 'F'"),
     "where_regex": ("SELECT c_custkey FROM customer WHERE c_name = /0{5}[0-9]7$/", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0{5}[0-9]7$')"),
     "contains_any": ("SELECT doc_id FROM documents WHERE string::words(text) CONTAINSANY ['the', 'der']", "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(text, '\\s+'), ['the', 'der'])"),
     "contains_all": ("SELECT doc_id FROM documents WHERE string::words(text) CONTAINSALL ['the', 'and']", "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(text, '\\s+'), ['the', 'and'])"),
@@ -48,7 +50,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "count_truthy": ("SELECT user_id, count(value > 100) AS n FROM events GROUP BY user_id", "SELECT user_id, count(*) FILTER (value > 100) AS n FROM events GROUP BY user_id"),
     "agg_composed": ("SELECT user_id, math::fixed(math::sum(value) + math::mean(value), 4) AS x, math::max(value) - math::min(value) AS spread FROM events GROUP BY user_id", "SELECT user_id, round(sum(value) + avg(value), 4) AS x, max(value) - min(value) AS spread FROM events GROUP BY user_id"),
     "stats": ("SELECT event_type, math::fixed(math::stddev(value), 6) AS s, math::fixed(math::variance(value), 4) AS v, math::fixed(math::median(value), 6) AS m FROM events GROUP BY event_type", "SELECT event_type, round(coalesce(stddev_samp(value), 0), 6) AS s, round(coalesce(var_samp(value), 0), 4) AS v, round(median(value), 6) AS m FROM events GROUP BY event_type"),
-    "implicit_array_group": ("SELECT user_id, array::join(array::slice(event_type, 0, 20), ',') AS types FROM events GROUP BY user_id", "SELECT user_id, array_to_string(list(event_type ORDER BY event_id)[1:20], ',') AS types FROM events GROUP BY user_id"),
+    "implicit_array_group": ("SELECT user_id, array::join(event_type, ',') AS types FROM events GROUP BY user_id", "SELECT user_id, array_to_string(list(event_type ORDER BY event_id), ',') AS types FROM events GROUP BY user_id"),
     "array_group_len": ("SELECT o_custkey, array::len(array::group(o_orderkey)) AS n, array::first(o_orderkey) AS f FROM orders GROUP BY o_custkey", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY o_custkey"),
     "array_distinct_agg": ("SELECT o_custkey, array::join(array::sort(array::distinct(o_orderpriority)), '|') AS p FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS p FROM orders GROUP BY o_custkey"),
     "array_join_agg": ("SELECT o_custkey, array::join(o_orderstatus, '-') AS s FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderstatus, '-' ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey"),
@@ -58,7 +60,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "order_numeric": ("SELECT c_name FROM customer ORDER BY c_name NUMERIC DESC LIMIT 20", "SELECT c_name FROM customer ORDER BY c_name DESC LIMIT 20"),
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "start_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 START 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5"),
-    "order_rand": ("SELECT count() AS n FROM (SELECT o_orderkey FROM orders ORDER BY RAND() LIMIT 10) GROUP ALL", "SELECT 10::BIGINT AS n"),
+    "order_rand": ("SELECT o_orderkey, o_custkey FROM orders ORDER BY RAND()", "SELECT o_orderkey, o_custkey FROM orders"),
     "union_sources": ("SELECT (s_acctbal ?? c_acctbal) AS b FROM supplier, customer", "SELECT s_acctbal AS b FROM supplier UNION ALL SELECT c_acctbal FROM customer"),
     "link_1": ("SELECT o_orderkey, o_custkey.c_name AS name FROM orders", "SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey"),
     "link_3": ("SELECT o_orderkey, o_custkey.c_nationkey.n_regionkey.r_name AS region FROM orders", "SELECT o_orderkey, r_name AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
@@ -67,10 +69,10 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "graph_out": ("SELECT o_orderkey, array::join(->lineitem->part.p_brand, ',') AS brands FROM orders", "SELECT o_orderkey, coalesce(string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice), '') AS brands FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey GROUP BY o_orderkey"),
     "graph_in": ("SELECT p_partkey, array::len(<-lineitem<-orders) AS n, math::fixed(math::sum(<-lineitem<-orders.o_totalprice), 2) AS total FROM part", "SELECT p_partkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM part LEFT JOIN (lineitem JOIN orders ON l_orderkey = o_orderkey) ON l_partkey = p_partkey GROUP BY p_partkey"),
     "graph_both": ("SELECT p_partkey, count(<->lineitem) AS n FROM part", "SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) + (SELECT count(*) FROM lineitem WHERE l_orderkey = p_partkey) AS n FROM part"),
-    "graph_filter": ("SELECT o_orderkey, array::sort(->(lineitem WHERE l_quantity > 30)->part.p_size) AS s, array::len(->(lineitem WHERE l_quantity > 30)) AS n FROM orders", None),
+    "graph_filter": ("SELECT o_orderkey, array::join(array::sort(->(lineitem WHERE l_quantity > 30)->part.p_size), ',') AS s, array::len(->(lineitem WHERE l_quantity > 30)) AS n FROM orders", "SELECT o_orderkey, coalesce(array_to_string(list_sort(list(p_size) FILTER (p_size IS NOT NULL)), ','), '') AS s, count(l_orderkey) AS n FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey AND l_quantity > 30) ON o_orderkey = l_orderkey GROUP BY o_orderkey"),
     "graph_filter_sum": ("SELECT o_orderkey, math::sum(->(lineitem WHERE l_quantity > 30)->part.p_size) AS s FROM orders", "SELECT o_orderkey, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS s FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey AND l_quantity > 30) ON o_orderkey = l_orderkey GROUP BY o_orderkey"),
     "graph_edge_fields": ("SELECT o_orderkey, math::fixed(math::sum(->lineitem.l_extendedprice), 2) AS total FROM orders", "SELECT o_orderkey, round(coalesce(sum(l_extendedprice), 0), 2) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
-    "graph_two_hops": ("SELECT p_partkey, array::len(array::distinct(<-lineitem<-orders->lineitem->part)) AS n FROM part:1..=20", "SELECT a.l_partkey AS p_partkey, count(DISTINCT b.l_partkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey BETWEEN 1 AND 20 GROUP BY a.l_partkey"),
+    "graph_two_hops": ("SELECT p_partkey, array::len(array::distinct(<-lineitem<-orders->lineitem->part)) AS n FROM part", "SELECT p_partkey, count(DISTINCT b.l_partkey) AS n FROM part LEFT JOIN (lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey) ON a.l_partkey = p_partkey GROUP BY p_partkey"),
     "edge_exists": ("SELECT o_orderkey FROM orders WHERE count(->lineitem) > 0", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"),
     "edge_missing": ("SELECT o_orderkey FROM orders WHERE count(->lineitem) = 0", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
     "edge_degree": ("SELECT o_orderkey, count(->lineitem) AS n FROM orders WHERE count(->lineitem) > 5", "SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5"),
@@ -86,8 +88,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "knn_filter": ("SELECT vec_id, math::fixed(vector::distance::knn(), 5) AS d FROM embeddings WHERE embedding <|10,EUCLIDEAN|> (SELECT VALUE embedding FROM embeddings:0)[0] AND label = 5", "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 5) AS d FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE label = 5 ORDER BY sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), vec_id LIMIT 10"),
     "matches_and": ("SELECT doc_id FROM documents WHERE text @@ 'the and'", "SELECT doc_id FROM documents WHERE list_has_all(list_transform(regexp_extract_all(text, '\\S+'), lambda x: lower(x)), ['the', 'and'])"),
     "matches_or": ("SELECT doc_id FROM documents WHERE text @OR@ 'idiot clown'", "SELECT doc_id FROM documents WHERE list_has_any(list_transform(regexp_extract_all(text, '\\S+'), lambda x: lower(x)), ['idiot', 'clown'])"),
-    "analyzer_tokens": ("DEFINE ANALYZER simple TOKENIZERS class FILTERS lowercase; SELECT doc_id, array::len(search::analyze('simple', text)) AS n FROM documents WHERE lang = 'en'", "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}]+|[\\p{N}]+|[\\p{P}\\p{S}]')) AS n FROM documents WHERE lang = 'en'"),
-    "explain_plan": ("SELECT 'ok' AS x FROM orders:1", "SELECT 'ok' AS x"),
+    "analyzer_tokens": ("DEFINE ANALYZER simple TOKENIZERS class FILTERS lowercase; SELECT doc_id, array::len(search::analyze('simple', text)) AS n FROM documents", "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}]+|[\\p{N}]+|[\\p{P}\\p{S}]')) AS n FROM documents"),
     # scalar families
     "fn_math": ("SELECT l_orderkey, l_linenumber, l_partkey, math::abs(l_partkey - 100) AS a, math::ceil(l_discount * 10) AS c, math::floor(l_discount * 10) AS f, math::fixed(math::sqrt(l_quantity), 6) AS s, math::fixed(math::ln(l_quantity), 6) AS l, math::fixed(math::log10(l_quantity), 6) AS l10, math::clamp(l_quantity, 10, 20) AS k, math::fixed(math::sin(l_quantity) + math::cos(l_quantity), 6) AS t, math::sign(l_partkey - 100) AS g, math::fixed(math::deg2rad(l_quantity), 6) AS r, math::lerp(0.0, 10.0, 0.5) AS p FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_partkey - 100) AS a, ceil(l_discount * 10) AS c, floor(l_discount * 10) AS f, round(sqrt(l_quantity), 6) AS s, round(ln(l_quantity), 6) AS l, round(log10(l_quantity), 6) AS l10, least(greatest(l_quantity, 10), 20)::DOUBLE AS k, round(sin(l_quantity) + cos(l_quantity), 6) AS t, CAST(sign(l_partkey - 100) AS BIGINT) AS g, round(radians(l_quantity), 6) AS r, 5.0::DOUBLE AS p FROM lineitem"),
     "fn_math_array": ("SELECT user_id, math::fixed(math::percentile(value, 90), 8) AS p90, math::fixed(math::interquartile(value), 8) AS iqr, math::fixed(math::trimean(value), 8) AS tri, math::spread(value) AS spread, math::fixed(math::midhinge(value), 8) AS hinge FROM (SELECT user_id, array::group(value) AS value FROM events GROUP BY user_id)", "SELECT user_id, round(quantile_cont(value, 0.9), 8) AS p90, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) AS iqr, round(((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2 + quantile_cont(value, 0.5)) / 2, 8) AS tri, max(value) - min(value) AS spread, round((quantile_cont(value, 0.75) + quantile_cont(value, 0.25)) / 2, 8) AS hinge FROM events GROUP BY user_id"),
@@ -136,14 +137,14 @@ TEXTS["bm25"] = ("SELECT doc_id, math::fixed(search::score(1), 3) AS score FROM
 # hops up the tree k -> k div 2 over the parts' keys
 _TREE = "SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1"
 _WALK = f"""WITH RECURSIVE h AS ({_TREE}), w(start, node, depth, path) AS (
-SELECT p_partkey, p_partkey, 0, [p_partkey] FROM part WHERE p_partkey BETWEEN 100 AND 140
+SELECT p_partkey, p_partkey, 0, [p_partkey] FROM part
 UNION ALL SELECT start, h.b, depth + 1, list_append(path, h.b) FROM w JOIN h ON w.node = h.a WHERE depth < {{depth}})"""
 
 
 def _hops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     hop = part.filter("p_partkey > 1").selectExpr("p_partkey AS _from", "p_partkey div 2 AS _to")
-    return part.filter("p_partkey BETWEEN 100 AND 140"), hop
+    return part, hop
 
 
 def recurse_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +263,8 @@ def of_text(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: star(spark, sf_dir).sql(text)
 
 
+TEXTS |= queries_functions.TEXTS
+WRITES |= queries_functions.STATEMENTS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: of_text(text) for name, (text, _) in TEXTS.items()}
 ORACLE: dict[str, str] = {name: sql for name, (_, sql) in TEXTS.items() if sql}
 QUERIES |= {name: _written(text) for name, (text, _) in WRITES.items()}
@@ -270,10 +273,10 @@ ORACLE |= {name: sql for name, (_, sql) in WRITES.items()}
 ORACLE |= {
     "recurse_collect": _WALK.format(depth=256) + " SELECT start, node, depth FROM w WHERE depth > 0",
     "recurse_default": _WALK.format(depth=3) + " SELECT start, node FROM w WHERE depth = 3",
-    "recurse_dead_end": "SELECT p_partkey AS start, 1::BIGINT AS node FROM part WHERE p_partkey BETWEEN 100 AND 140",
-    "recurse_path": _WALK.format(depth=256) + " SELECT start, array_to_string(path, '>') AS path FROM w WHERE node = 1",
-    "recurse_shortest": _WALK.format(depth=256) + " SELECT start, array_to_string(path[2:], '>') AS path FROM w WHERE node = 3",
-    "recurse_tree": "SELECT p.p_partkey AS start, CAST((SELECT count(*) FROM part c WHERE c.p_partkey // 2 = p.p_partkey) AS INT) AS kids, CAST((SELECT count(*) FROM part c WHERE c.p_partkey // 4 = p.p_partkey) AS INT) AS grandkids FROM part p WHERE p.p_partkey BETWEEN 100 AND 140",
+    "recurse_dead_end": "SELECT p_partkey AS start, 1::BIGINT AS node FROM part WHERE p_partkey > 1",
+    "recurse_path": _WALK.format(depth=256) + " SELECT start, array_to_string(path, '>') AS path FROM w WHERE node = 1 AND depth > 0",
+    "recurse_shortest": _WALK.format(depth=256) + " SELECT start, array_to_string(path[2:], '>') AS path FROM w WHERE node = 3 AND depth > 0",
+    "recurse_tree": f"WITH h AS ({_TREE}), k AS (SELECT b AS node, count(*) AS n FROM h GROUP BY b), g AS (SELECT y.b AS node, count(*) AS n FROM h x JOIN h y ON x.b = y.a GROUP BY y.b) SELECT p_partkey AS start, coalesce(k.n, 0)::INT AS kids, coalesce(g.n, 0)::INT AS grandkids FROM part LEFT JOIN k ON k.node = p_partkey LEFT JOIN g ON g.node = p_partkey",
     "rrf": f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY x DESC, doc_id) AS k FROM ({_BM25.replace('SELECT doc_id, round(x, 3) AS score FROM r', 'SELECT doc_id, x::FLOAT AS x FROM r')})), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 200) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + k)), 6) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY sum(1.0::DOUBLE / (60 + k)) DESC, doc_id LIMIT 20",
     "linear": f"WITH a AS (SELECT doc_id, x FROM ({_BM25.replace('SELECT doc_id, round(x, 3) AS score FROM r', 'SELECT doc_id, x FROM r')})), b AS (SELECT doc_id, n_chars AS x FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200), s AS (SELECT doc_id, 0.7 * CASE WHEN max(x) OVER () > min(x) OVER () THEN (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) ELSE 1 END AS v FROM a UNION ALL SELECT doc_id, 0.3 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS v FROM b) SELECT doc_id, round(sum(v), 3) AS linear_score FROM s GROUP BY doc_id ORDER BY sum(v) DESC, doc_id LIMIT 20",
     "view_incremental": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 3) AS mean, round(min(value), 3) AS low, round(max(value), 3) AS high, round(stddev_samp(value), 3) AS sd FROM events GROUP BY event_type",
@@ -282,5 +285,52 @@ ORACLE |= {
 }
 
 
+def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN says of a filtered scan: a scan with the filter pushed down and only the columns that are used."""
+    e = star(spark, sf_dir)
+    said = e.value("EXPLAIN SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+    ran = e.value("EXPLAIN ANALYZE SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+    found = [("pushed", "GreaterThan(o_totalprice,100000.0)" in said), ("pruned", "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in said), ("analyzed", "Scan parquet" in ran)]
+    return spark.createDataFrame(found, "what string, said boolean")
+
+
+def _many(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    """The star with two more edge tables: line items from orders to suppliers, and orders from customers to orders."""
+    e = star(spark, sf_dir)
+    line, orders = (e.catalog.tables[t] for t in ("lineitem", "orders"))
+    e.catalog.add("ships", line.load, edge=Edge("l_orderkey", "orders", "l_suppkey", "supplier"), order=line.order).info["plain_key"] = True
+    e.catalog.add("placed", orders.load, key="o_orderkey", edge=Edge("o_custkey", "customer", "o_orderkey", "orders")).info["plain_key"] = True
+    return e
+
+
+def of_many(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _many(spark, sf_dir).sql(text)
+
+
+#: Walks through several edge tables.
+MANY: dict[str, tuple[str, str]] = {
+    "graph_many_tables": (
+        "SELECT o_orderkey, array::join(->(lineitem, ships)->?, ',') AS ends FROM orders",
+        "WITH w AS (SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS p, string_agg(l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS s FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, coalesce(p || ',' || s, '') AS ends FROM orders LEFT JOIN w ON l_orderkey = o_orderkey",
+    ),
+    "graph_any_table": ("SELECT o_orderkey, count(->?) AS n, math::sum(->?->?.s_nationkey) AS s FROM orders", "SELECT o_orderkey, 2 * count(l_orderkey) AS n, coalesce(sum(s_nationkey), 0)::BIGINT AS s FROM orders LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
+    "graph_named_end": ("SELECT o_orderkey, array::len(->(lineitem, ships)->supplier) AS n FROM orders", "SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
+    "graph_step_order": (
+        "SELECT o_orderkey, array::join(->(lineitem ORDER BY l_quantity DESC LIMIT 2 START 1).l_quantity, ',') AS q FROM orders",
+        "SELECT o_orderkey, coalesce(array_to_string(list(l_quantity ORDER BY l_quantity DESC)[2:3], ','), '') AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
+    ),
+    "graph_two_edges": (
+        "SELECT c_custkey, math::sum(->placed->orders->(lineitem, ships)->part.p_size) AS s FROM customer",
+        "SELECT c_custkey, coalesce(sum(p_size), 0)::BIGINT AS s FROM customer LEFT JOIN (orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) ON o_custkey = c_custkey GROUP BY c_custkey",
+    ),
+}
+QUERIES |= {name: of_many(text) for name, (text, _) in MANY.items()}
+ORACLE |= {name: sql for name, (_, sql) in MANY.items()}
+QUERIES["explain_plan"] = explain_plan
+QUERIES["clause_only"] = lambda spark, sf_dir: spark.createDataFrame([star(spark, sf_dir).value("SELECT n_nationkey, n_name FROM ONLY nation:1")], "n_nationkey long, n_name string")
+ORACLE["clause_only"] = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey = 1"
+ORACLE["explain_plan"] = "SELECT unnest(['pushed', 'pruned', 'analyzed']) AS what, true AS said"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["group_multi"](spark, sf_dir)
