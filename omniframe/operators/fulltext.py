@@ -66,13 +66,34 @@ def equals(term: str):  # noqa: ANN201
     return lambda x: x == F.lit(term)
 
 
+def simple(catalog: Catalog, analyzer: str | None) -> str | None:
+    """The pattern of an analyzer whose tokens stand in the lower-case text as they are: one tokenizer, and lowercase alone."""
+    a: dict[str, Any] = catalog.analyzers.get(analyzer or "", DEFAULT)
+    kinds, filters = a.get("tokenizers") or [("blank", [])], [name for name, _ in a.get("filters") or []]
+    return PATTERNS[kinds[0][0]].replace("\\\\", "\\") if len(kinds) == 1 and kinds[0][0] in ("blank", "class") and filters == ["lowercase"] else None
+
+
+def token_columns(df: DataFrame, catalog: Catalog, analyzer: str | None, field: str, name: str, terms: list[str]) -> DataFrame:
+    """df with the text's tokens (``name``) and their number (``name_n``).
+
+    Where it is enough to, only texts that hold one of the terms are cut into tokens, and the tokens of the others are counted alone.
+    """
+    pattern, col = simple(catalog, analyzer), quote(field)
+    if pattern is None or not terms:
+        return tokens_column(df, catalog, analyzer, field, name).withColumn(f"{name}_n", F.size(name))
+    holds = " OR ".join(f"contains(lower({col}), {text(t)})" for t in terms)
+    df = df.withColumn(name, F.expr(f"CASE WHEN {holds} THEN {analyze_sql(catalog, analyzer, col)} ELSE cast(array() as array<string>) END"))
+    return df.withColumn(f"{name}_n", F.expr(f"coalesce(regexp_count({col}, {text(pattern)}), 0)"))
+
+
 def with_scores(df: DataFrame, tokens: str, terms: list[str], column: str, k1: float = K1, b: float = B) -> DataFrame:
     """df with the BM25 score of its ``tokens`` column, rounded to single precision as the statistics of a whole table give it."""
-    stats = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(tokens)).alias("_mean"), *[F.count_if(F.array_contains(tokens, t)).alias(f"_df{i}") for i, t in enumerate(terms)])
+    length = f"{tokens}_n"
+    stats = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(length).alias("_mean"), *[F.count_if(F.array_contains(tokens, t)).alias(f"_df{i}") for i, t in enumerate(terms)])
     # one row; Spark broadcasts it
     both = df.crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
-    size = F.size(tokens).cast("double")
+    size = F.col(length).cast("double")
     for i, t in enumerate(terms):
         n, d = F.col("_n").cast("double"), F.col(f"_df{i}").cast("double")
         idf = F.greatest(F.lit(0.0), F.log((n - d + 0.5) / (d + 0.5)))

@@ -749,8 +749,8 @@ class Planner:
             field = default_name(m.left)
             analyzer = self.analyzer(field)
             col = self.fresh("t")
-            self.df = fulltext.tokens_column(self.df, self.catalog, analyzer, field, col)
             terms = fulltext.query_terms(self.catalog, analyzer, str(constant(m.right, self.catalog, self.params)))
+            self.df = fulltext.token_columns(self.df, self.catalog, analyzer, field, col, terms)
             self.df = fulltext.with_scores(self.df, col, terms, f"_score{ref}")
             self.terms[ref] = (field, terms)
             m.extra = (m.extra, col, terms)

@@ -12,11 +12,20 @@ if TYPE_CHECKING:
     from omniframe.engine import Engine
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only on one machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="omniframe-tables-")
+    return found.rstrip("/")
+
+
 def base(engine: Engine) -> str:
-    """The engine's warehouse; else the cluster's shared folder; else, on one machine, a folder of its own."""
+    """The engine's warehouse; else a folder below the shared one."""
     if not engine.warehouse:
-        found = engine.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        engine.warehouse = f"{found.rstrip('/')}/tables-{uuid.uuid4().hex}" if found else "file://" + tempfile.mkdtemp(prefix="omniframe-tables-")
+        engine.warehouse = f"{shared(engine.spark)}/tables-{uuid.uuid4().hex}"
     return engine.warehouse
 
 

@@ -163,3 +163,29 @@ def test_incremental_view_takes_rows_back(spark, tmp_path):
     v.apply(rows)
     v.apply(deleted=spark.createDataFrame([("a", 5.0)], "g string, v double"))
     assert {r.g: (r.n, r.hi, r.s) for r in v.read(spark).collect()} == {"a": (1, 1.0, 1.0), "b": (1, 2.0, 2.0)}
+
+
+def test_view_counts_a_repeated_batch_once(spark, tmp_path):
+    from omniframe.streaming.views import View
+
+    outs = {"n": ("count", None), "s": ("sum", "v"), "sd": ("stddev", "v")}
+    frame = lambda *v: spark.createDataFrame([("a", float(x)) for x in v], "g string, v double")
+    v = View(["g"], outs, f"file://{tmp_path}/view")
+    v.apply(frame(1e9, 1e9 + 1), batch=0)
+    v.apply(frame(1e9 + 2), batch=1)
+    v.apply(frame(1e9 + 2), batch=1)  # the stream plays it again
+    again = View(["g"], outs, f"file://{tmp_path}/view")  # a driver that starts anew
+    again.apply(frame(1e9 + 3), batch=2)
+    got = again.read(spark).first()
+    assert (got.n, got.s) == (4, 4e9 + 6) and abs(got.sd - (5 / 3) ** 0.5) < 1e-6
+    assert again.versions(spark) == [1, 2, 3]
+
+
+def test_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
+    from omniframe.sources import storage
+
+    assert ":" in storage.shared(spark) or storage.shared(spark).startswith("/")
+    monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared(spark)
