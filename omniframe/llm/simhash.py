@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = [x for c in cols for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))]
     row = docs.select(F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2"), "doc_id", "text", F.struct(*cols).alias("row"))
     shown = row.select(F.struct("doc_id", "k1", "k2").alias("key"), "text")
-    prints = durable.save(minhash.sketches(shown, "key").select("node", "size", "bands", "key.doc_id", "key.k1", "key.k2"), "prints")
+    prints = durable.save(minhash.sketches(shown, "key").select("node", "size", "bands", "minima", "key.doc_id", "key.k1", "key.k2"), "prints")
     groups = minhash.near_roots(prints, row.select("k1", "k2", "text"), ["k1", "k2"])
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
     # copies are combined before any shuffle: by text, then by group

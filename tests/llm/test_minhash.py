@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from omniframe.llm import minhash, simhash
 
 RND = random.Random(3)
@@ -57,8 +59,8 @@ def test_pairs_that_miss_the_smallest_member(docs):
     want = survivors(rows)
 
     def one(texts):
-        node, size, keys = old(texts)
-        return node, size, keys * 0
+        node, size, keys, minima = old(texts)
+        return node, size, keys * 0 + np.arange(minhash.BANDS, dtype=np.uint64), minima
 
     try:
         minhash.sketch = one
