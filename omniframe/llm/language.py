@@ -31,7 +31,7 @@ from omniframe.llm import durable, words
 
 MOST_DOCS = 2000
 #: Bytes of labelled text that reach the driver.
-MOST_BYTES = 8 << 20
+MOST_BYTES = 2 << 20
 SPAN = 60
 #: A word is in the lexicon from so many occurrences on; its shares are told in so many steps.
 LEAST_SEEN, STEPS = 3, 3
