@@ -181,11 +181,15 @@ def test_view_counts_a_repeated_batch_once(spark, tmp_path):
     assert again.versions(spark) == [1, 2, 3]
 
 
-def test_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
+def test_shared_folder_is_wanted_on_a_cluster(spark):
+    from types import SimpleNamespace
+
     from omniframe.sources import storage
 
-    assert ":" in storage.shared(spark) or storage.shared(spark).startswith("/")
-    monkeypatch.setattr(type(spark.conf), "get", lambda *_: None)
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://x:7077"))
+    def session(master, folder=None):
+        get = lambda *_: folder
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=get), master=master), conf=SimpleNamespace(get=get))
+
+    assert storage.shared(session("spark://x:7077", "hdfs://y/z/")) == "hdfs://y/z" and storage.shared(session("local[4]")).startswith("file://")
     with pytest.raises(RuntimeError):
-        storage.shared(spark)
+        storage.shared(session("spark://x:7077"))
