@@ -399,7 +399,7 @@ def _vector(n: A.Call, scope: Scope) -> Val:
     args = []
     for a in n.args:
         v = compile(a, scope)
-        if v.family == "array" and element(v) in (T.FloatType(), T.DecimalType(38, 18)):
+        if v.family == "array" and isinstance(element(v), (T.FloatType, T.DecimalType)):
             v = Val(f"cast({v.sql} as array<double>)", T.ArrayType(T.DoubleType()), v.literal)
         args.append(v)
     return typed(scope, C.call_sql(n.name, args))

@@ -86,6 +86,11 @@ def test_values(engine):
     assert not wrong, "\n".join(map(str, wrong))
 
 
+def test_long_decimals(engine):
+    assert engine.value("RETURN 123456789012345678901234567890dec + 1dec") == 123456789012345678901234567891
+    assert float(engine.value("RETURN 1.5dec * 2dec")) == 3.0
+
+
 def test_empty_numbers_are_nan(engine):
     assert math.isnan(engine.value("RETURN math::mean([])"))
     assert math.isnan(engine.value("RETURN 1 / 0"))
