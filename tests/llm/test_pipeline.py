@@ -35,3 +35,13 @@ def test_stages(spark, docs, tmp_path):
     assert set(seen[3]) <= set(range(40)) and sorted(seen[3]) == sorted(seen[4])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(seen[4])
     assert quality.MOST_LABELLED and token_store.MAGIC
+
+
+def test_empty_and_null_rows(spark, docs, tmp_path):
+    for k, rows in enumerate(([], [(None, None, None, None), (None, prose(60), None, None), (5, "", "en", "s"), (None, None, None, None)])):
+        sf = f"file://{tmp_path}/{k}"
+        docs(rows).drop("key", "h").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        got = corpus_pipeline.run(spark, sf).collect()
+        assert all(r.doc_id is None and r.n_tokens > 60 for r in got) and len(got) == (k and 1)
