@@ -17,10 +17,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on one machine (tests)."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="omniframe-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

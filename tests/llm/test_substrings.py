@@ -56,3 +56,9 @@ def test_the_sketch_never_counts_too_few():
     assert all(seen[a] >= windows[bytes(h[w : w + 35])] for w, a in zip(where.tolist(), anchor.tolist()))
     assert len(placed) < len(where) / 5
     assert np.isin(anchor, placed).all()
+
+
+def test_a_very_long_text(docs):
+    words = [f"w{k * 7919 % 100_003}" for k in range(90_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50_000:50_050])), (3, " ".join(["again"] * 20_000)), (None, " ".join(words[:34]))]
+    check(docs, rows, 35)
