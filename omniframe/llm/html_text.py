@@ -15,18 +15,22 @@ headings, lists and tables; items are marked and indented by depth; cells are
 padded to their column's width on screen (wide letters count twice), also across
 ``colspan`` and ``rowspan``; ``pre`` keeps its white space; elsewhere runs of white space are one blank.
 
-Layout is bounded, text never is: indents end at ``MOST_INDENT`` columns, a column
-is padded to ``MOST_PAD`` at most, a table whose padding would exceed ``PAD_SHARE``
-times its text stands without padding, spans count up to ``SPAN_WORK`` a table.
+Layout is bounded, text never is: indents end at ``MOST_INDENT`` columns, a cell
+widens its columns to ``MOST_PAD`` at most, and as many blanks (and the two between
+columns) stand between two cells at most, so padding is in proportion to the cells.
+These rules look at a line alone; all spans count, and no table is laid
+out in another way because of its size.
 Pages are rendered one by one in Arrow batches, without recursion, so depth and
 length of a page are bounded by memory alone. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,8 +83,6 @@ DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 MOST_INDENT = 64
 MOST_PAD = 80
-PAD_SHARE = 8
-SPAN_WORK = 1_000_000
 
 
 class Node:
@@ -387,6 +389,60 @@ def span(node: Node, name: str, most: int) -> int:
     return min(int(v), most) if v.isascii() and v.isdigit() and int(v) > 0 else 1
 
 
+class Covered:
+    """The columns that cells of rows above still cover.
+
+    They are kept as pieces that don't overlap, each up to a row, and as the runs that touching
+    pieces make, so a row costs by its own cells, however many reach down into it.
+    """
+
+    def __init__(self) -> None:
+        self.begin: list[int] = []  # of the runs
+        self.end: list[int] = []
+        self.pieces: list[int] = []  # first columns
+        self.piece: dict[int, tuple[int, int]] = {}  # first column: (one past the last, row where it's over)
+        self.due: list[tuple[int, int, int]] = []  # (row, first column, one past the last)
+
+    def free(self, at: int) -> int:
+        """The first column from ``at`` on that isn't covered."""
+        i = bisect_right(self.begin, at) - 1
+        return max(at, self.end[i]) if i >= 0 else at
+
+    def upto(self, row: int) -> None:
+        """Drop the pieces that are over at a row."""
+        while self.due and self.due[0][0] <= row:
+            over, a, z = heapq.heappop(self.due)
+            if self.piece.get(a) != (z, over):
+                continue  # a longer one took its place
+            del self.piece[a], self.pieces[bisect_left(self.pieces, a)]
+            i = bisect_right(self.begin, a) - 1
+            left = [x for x in ((self.begin[i], a), (z, self.end[i])) if x[0] < x[1]]
+            self.begin[i : i + 1], self.end[i : i + 1] = [x for x, _ in left], [x for _, x in left]
+
+    def add(self, a: int, z: int, over: int) -> None:
+        """Cover columns a to z up to a row; a column that is covered for longer stays so."""
+        i = bisect_right(self.pieces, a)
+        if i and self.piece[self.pieces[i - 1]][0] > a:
+            i -= 1
+        j, at, new = bisect_left(self.pieces, z), a, []
+        for p in self.pieces[i:j]:
+            q, other = self.piece.pop(p)
+            if other >= over:
+                new += [(at, p, over), (p, q, other)]
+                at = q
+            else:
+                new += [(p, a, other)] + ([(at, z, over), (z, q, other)] if q > z else [])
+                at = max(at, q if q > z else at)
+        new = [x for x in (*new, (at, z, over)) if x[0] < x[1]]
+        self.pieces[i:j] = [x[0] for x in new]
+        for first, past, until in new:
+            self.piece[first] = past, until
+            heapq.heappush(self.due, (until, first, past))
+        i, j = bisect_left(self.end, a), bisect_right(self.begin, z)
+        low, high = (min(a, self.begin[i]), max(z, self.end[j - 1])) if i < j else (a, z)
+        self.begin[i:j], self.end[i:j] = [low], [high]
+
+
 class Table:
     """Rows of (cell's text, columns, rows) while a table is open."""
 
@@ -395,64 +451,51 @@ class Table:
 
     def placed(self) -> list[list[tuple[int, int, str]]]:
         """Each row's (first column, one past the last, text), columns counted as if there were no others than those where a cell begins."""
-        out, work = [], 0
-        held: list[tuple[int, int, int]] = []  # (column, one past, rows left) of cells that reach down
-        for row in self.rows:
-            work += len(held) + len(row)
-            if work > SPAN_WORK:
-                held = []
-            taken, at, i = [], 0, 0
+        out, covered = [], Covered()
+        for k, row in enumerate(self.rows):
+            covered.upto(k)
+            taken, at = [], 0
             for text, cols, down in row:
-                cols, down = (cols, down) if work <= SPAN_WORK else (1, 1)
-                while i < len(held) and held[i][0] <= at:
-                    at, i = max(at, held[i][1]), i + 1
+                at = covered.free(at)
                 taken.append((at, at + cols, text, down))
                 at += cols
             out.append([(a, z, t) for a, z, t, _ in taken])
-            held = sorted([(a, z, k - 1) for a, z, k in held if k > 1] + [(a, z, k - 1) for a, z, _, k in taken if k > 1])
-        number = {a: k for k, a in enumerate(sorted({a for r in out for a, _, _ in r}))}
-        starts = sorted(number)
-        if len(starts) == (starts[-1] + 1 if starts else 0):
-            return [[(a, min(z, len(starts)), t) for a, z, t in r] for r in out]
-        from bisect import bisect_left
-
+            for a, z, _, down in taken:
+                if down > 1:
+                    covered.add(a, z, k + down)
+        starts = sorted({a for r in out for a, _, _ in r})
+        number = {a: k for k, a in enumerate(starts)}
         return [[(number[a], bisect_left(starts, z), t) for a, z, t in r] for r in out]
 
     def lines(self) -> list[str]:
-        """Each column as wide as its widest line, two blanks between."""
+        """Each column as wide as its widest line, two blanks between; columns under a wider cell are moved apart just enough."""
         rows = [[(a, z, [(x, width(x)) for x in t.split("\n")]) for a, z, t in r] for r in self.placed()]
         wide = [0] * max((z for r in rows for _, z, _ in r), default=0)
+        over: dict[int, dict[int, int]] = {}
         for r in rows:
             for a, z, own in r:
+                w = min(max(w for _, w in own), MOST_PAD)
                 if z - a == 1:
-                    wide[a] = min(max(wide[a], *(w for _, w in own)), max(MOST_PAD, wide[a]))
-        begin = [0]
-        for w in wide:
-            begin.append(begin[-1] + w + 2)
-        for r in rows:
-            for a, z, own in r:
-                if z - a > 1 and z < len(wide) and (more := min(max(w for _, w in own), MOST_PAD) + 2 - (begin[z] - begin[a])) > 0:
-                    wide[z - 1] += more
+                    wide[a] = max(wide[a], w)
+                elif z < len(wide):
+                    spans = over.setdefault(z, {})
+                    spans[a] = max(spans.get(a, 0), w)
         begin = [0]
         for w in wide:
-            begin.append(begin[-1] + w + 2)
-        text = sum(w for r in rows for _, _, own in r for _, w in own)
-        padded = sum(begin[r[-1][0]] * max(len(own) for _, _, own in r) for r in rows if r)
-        plain = padded > PAD_SHARE * text + 4096
+            begin.append(max(begin[k] + x + 2 for k, x in (*over.get(len(begin), {}).items(), (len(begin) - 1, w))))
         out = []
         for r in rows:
-            for i in range(max((len(own) for _, _, own in r), default=0)):
+            laid = [[] for _ in range(max((len(own) for _, _, own in r), default=0))]
+            for a, _, own in r:
+                for line, (x, w) in zip(laid, own):
+                    if x:
+                        line.append((begin[a], x, w))
+            for cells in laid:
                 line, at = [], 0
-                for a, _, own in r:
-                    x, w = own[i] if i < len(own) else ("", 0)
-                    if plain:
-                        line.append(x + "  " if x else "")
-                        continue
-                    if not x:
-                        continue
-                    gap = max(begin[a] - at, 2 if at else 0)
-                    line.append(" " * gap + x)
-                    at += gap + w
+                for a, x, w in cells:
+                    first = max(a, at + 2 if at else 0)
+                    line.append(" " * min(first - at, MOST_PAD + 2) + x)
+                    at = first + w
                 out.append("".join(line).rstrip())
         return out
 

@@ -5,7 +5,7 @@ from html.parser import HTMLParser
 import duckdb
 import pytest
 
-from omniframe.llm.html_text import extract, texts
+from omniframe.llm.html_text import Table, extract, texts
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><h1>Hi  there</h1><p>One<p>Two <b>bold</b>, x<ul><li>a<li>b<ul><li>c</ul></ul>
 <ol start=3><li>q<li>r</ol><table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>pear pear<td>12</table>tail<br>next
@@ -68,6 +68,44 @@ def test_tables_against_plain_padding():
         assert extract(page) == brute_table(rows)
 
 
+def plain_grid(rows):
+    """Each cell's first column and one past its last, on a grid that is filled slot by slot."""
+    full, out = set(), []
+    for k, row in enumerate(rows):
+        at = 0
+        out.append([])
+        for _, cols, down in row:
+            while (k, at) in full:
+                at += 1
+            out[-1].append((at, at + cols))
+            full |= {(k + i, j) for i in range(1, down) for j in range(at, at + cols)}
+            at += cols
+    number = {a: i for i, a in enumerate(sorted({a for r in out for a, _ in r}))}
+    return [[(number[a], sum(x < z for x in number)) for a, z in r] for r in out]
+
+
+def test_spans_against_a_plain_grid():
+    rnd = random.Random(11)
+    for _ in range(2000):
+        t = Table()
+        t.rows = [[("c", rnd.choice([1, 1, 2, 3, 9]), rnd.choice([1, 1, 2, 3, 8])) for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(1, 12))]
+        assert [[x[:2] for x in r] for r in t.placed()] == plain_grid(t.rows)
+
+
+@pytest.mark.parametrize(
+    "head,row",
+    [
+        ("<tr>" + "<td rowspan=9000>a" * 300, "<tr><td>" + "b" * 200), ("<tr>" + "<td>a" * 100, "<tr>" + "<td>" * 20 + "<td>b"), ("<tr><td>a<td>b<td>c", "<tr><td colspan=2>wide cell<td>x"),
+        ("<tr>" + "".join(f"<td rowspan={k}>a" for k in range(9000, 8700, -1)), "<tr><td colspan=7 rowspan=5>b<td>c"),
+    ],
+)
+def test_rows_stand_alike_however_many_follow(head, row):
+    few, many = (extract("<table>" + head + row * n + "</table>").split("\n") for n in (10, 5000))
+    assert many[:11] == few and len(many) == 5001
+    if "rowspan=5>" not in row:
+        assert {*many[1:]} == {few[1]}
+
+
 @pytest.mark.parametrize(
     "page,size",
     [
