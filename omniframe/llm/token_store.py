@@ -31,6 +31,7 @@ leaves one whole file.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -74,8 +75,8 @@ class Encoder:
     and no added token does. Inside a word of ASCII alone, NFC does nothing
     and a letter is always cut from a following ``.,;:!?``, so such a word's
     lower case is cut there too. Words with other characters, or with ``<|`` as
-    in the added tokens, go to the library as they are. Each distinct unit is
-    encoded once and kept in a bounded memory. Texts of any other tokenizer are
+    in the added tokens, go to the library as they are, many at a time with an added token
+    between them. Each distinct unit is encoded once and kept in a bounded memory. Texts of any other tokenizer are
     encoded whole.
     """
 
@@ -97,6 +98,8 @@ class Encoder:
         added = kind.get("added_tokens", [])
         plain = all(a["content"].startswith("<|") and not re.search(r"\s", a["content"]) and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in added)
         self.by_words = (kind.get("normalizer"), first) == CUT_SAFE and plain and not kind.get("truncation")
+        #: An added token, which cuts a text before anything else is done to it, and its id.
+        self.apart = next(((a["content"], a["id"]) for a in added if self.by_words), None)
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -119,6 +122,20 @@ class Encoder:
             else:
                 self.known.update(zip(part, self.whole(part)))
         rest = [u for u in units if not (u.isascii() and u.isalpha())]
+        if self.apart:
+            between, mark = self.apart
+            odd, rest = [u for u in rest if "<|" in u], [u for u in rest if "<|" not in u]
+            for k in range(0, len(rest), 256):
+                part = rest[k : k + 256]
+                ids = np.array(self.tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, self.id_type)
+                cut = np.flatnonzero(ids == mark)
+                if len(cut) == len(part) - 1:
+                    raw, w = ids.tobytes(), self.id_type.itemsize
+                    begin, end = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
+                    self.known.update(zip(part, (raw[a:b] for a, b in zip(begin, end))))
+                else:
+                    self.known.update(zip(part, self.whole(part)))
+            rest = odd
         self.known.update(zip(rest, self.whole(rest)))
 
     def pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +145,13 @@ class Encoder:
         flat, at = words.split(pc.if_else(ascii_, low, distinct))
         code, units = words.encode(flat)
         names = units.to_pylist()
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        self.learn([u for u in names if u not in self.known])
-        raw = [self.known[u] for u in names]
+        if len(self.known) > self.KEEP:  # what is in use just now stays
+            self.known = {u: self.known[u] for u in names if u in self.known}
+        raw = list(map(self.known.get, names))
+        new = [i for i, x in enumerate(raw) if x is None]
+        self.learn([names[i] for i in new])
+        for i in new:
+            raw[i] = self.known[names[i]]
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.id_type.itemsize
         ids, bound = gather(np.frombuffer(b"".join(raw), self.id_type), np.concatenate([[0], np.cumsum(size)]), code)
         return ids, bound[at]
@@ -151,6 +171,23 @@ class Encoder:
         return np.insert(ids, bound[1:], self.id_type.type(self.end_id)), bound + np.arange(len(bound))
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """This process's encoder of a tokenizer file.
+
+    Workers live on from task to task, and what the library takes for one more
+    tokenizer is not all given back, so a worker makes one and keeps it (the last one, if files differ).
+    """
+    file = os.stat(path)
+    key = path, end_id, file.st_mtime_ns, file.st_size
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, end_id)
+    return _encoders[key]
+
+
 def gather(values: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of each coded run one after the other, and the runs' offsets."""
     n = np.diff(offsets)[code] if len(code) else np.zeros(0, np.int64)
@@ -302,7 +339,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
     out = None
     for b in words.chunks(batches):
         if out is None:
-            enc = Encoder(tokenizer, end_id)
+            enc = encoder(tokenizer, end_id)
             store.create_dir(base, recursive=True)
             out = store.open_output_stream(own + ".ids")
         k = b.column("key")
@@ -337,9 +374,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     shards = max(-(-n // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_BYTES)), 1)
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
-    path = f"{folder}/manifest"
-    rows.mapInArrow(lambda it: _write_shards(it, folder, tokenizer, end_id), MANIFEST).write.parquet(path)
-    return spark.read.schema(MANIFEST).parquet(path)
+    # a row of five numbers a shard, which the router takes to the driver anyway
+    made = rows.mapInArrow(lambda it: _write_shards(it, folder, tokenizer, end_id), MANIFEST).toArrow()
+    return spark.createDataFrame(made.to_pylist(), MANIFEST)
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

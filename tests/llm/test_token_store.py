@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -88,6 +89,27 @@ def test_round_trip(docs, monkeypatch, bytes_):
     assert token_store.store_and_read(docs([])).count() == 0
 
 
+def test_a_worker_makes_one_encoder(tmp_path, monkeypatch):
+    made = []
+
+    class Counted(token_store.Encoder):
+        def __init__(self, *args):
+            made.append(args)
+            super().__init__(*args)
+
+    monkeypatch.setattr(token_store, "Encoder", Counted)
+    monkeypatch.setattr(token_store, "_encoders", {}, raising=False)
+    want = [plain(t) for t in TEXTS]
+    for shard in range(3):
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda shard=shard: SimpleNamespace(partitionId=lambda: shard))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS)), pa.int64()), pa.array(TEXTS)], names=["key", "text"])
+        (row,) = token_store._write_shards(iter([batch]), str(tmp_path), PATH, 2)
+        assert row.column("n_ids").to_pylist() == [sum(map(len, want))]
+        got = np.fromfile(f"{token_store.shard_path(tmp_path, shard)}.ids", "<u2")
+        assert got.tolist() == [i for t in want for i in t]
+    assert len(made) == 1
+
+
 def test_absent_keys_give_no_row(spark, docs):
     d, folder = docs([(1, "a"), (5, "b")]), durable.new_path(spark, "t")
     m = token_store.write(d, folder, PATH, 2)
