@@ -133,9 +133,19 @@ def assign(docs: DataFrame) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_copies(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp): each node of a group of near fingerprints with the group's smallest."""
+    own = durable.save(prints.select("node", "fp").distinct(), "print-nodes")
+    groups = durable.save(near_groups(own, "node").select("fp", F.col("component_id").alias("a")), "print-groups")
+    return durable.save(own.join(groups, "fp").select("a", F.col("node").alias("b")).filter("a != b"), "print-pairs")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of near copies (see minhash), the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies, the document with the smallest doc_id stays.
 
+    Texts are near if their five-word shingles overlap by minhash.LEAST or more. Fingerprints of the same
+    shingles at distance 2 or less, found by deletion variants, are the first candidates; an
+    overlap of LEAST goes with some ten bits, so all that is left is looked for by MinHash. Every link is verified on both texts.
     Null ids come last; ties go to the smaller hash of the whole row, and of
     rows that are equal in every column one stays (null and empty values differ). A text without words
     is near those without words only. All columns are kept, whatever their names, and
@@ -145,8 +155,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = [x for c in cols for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))]
     row = docs.select(F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2"), "doc_id", "text", F.struct(*cols).alias("row"))
     shown = row.select(F.struct("doc_id", "k1", "k2").alias("key"), "text")
-    prints = durable.save(minhash.sketches(shown, "key").select("node", "size", "bands", "minima", "key.doc_id", "key.k1", "key.k2"), "prints")
-    groups = minhash.near_roots(prints, row.select("k1", "k2", "text"), ["k1", "k2"])
+    prints = durable.save(minhash.sketches(shown, "key", lambda texts: simhash(texts, minhash.WIDTH)).select("node", "size", "bands", "fp", "key.doc_id", "key.k1", "key.k2"), "prints")
+    groups = minhash.near_roots(prints, row.select("k1", "k2", "text"), ["k1", "k2"], near_copies(prints.filter("size > 0")))
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
     # copies are combined before any shuffle: by text, then by group
     best = prints.groupBy("node").agg(F.min(rank).alias("r")).join(groups, "node", "left")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from omniframe.llm import minhash, simhash
 
@@ -70,3 +71,40 @@ def test_pairs_that_miss_the_smallest_member(docs):
         assert {r.doc_id for r in simhash.keep_one(docs_).collect()} == want
     finally:
         minhash.sketch = old
+
+
+def test_fingerprints_link_close_copies_first(docs, monkeypatch):
+    # no two texts share a band: close copies are still found, by their fingerprints, and verified on the texts
+    old, copies = minhash.sketch, []
+    while len(copies) < 6:
+        w = prose(900)
+        three = [" ".join(w + ["end"] * j) for j in range(3)]
+        prints = simhash.simhash(pa.array(three), minhash.WIDTH)
+        if (np.bitwise_count(prints ^ prints[0]) <= 2).all():
+            copies.append(three)
+    rows = [(10 * i + j, t) for i, three in enumerate(copies) for j, t in enumerate(three)]
+    rows += [(100, "one two"), (101, "one  Two"), (102, "")]
+
+    def alone(texts):
+        node, size, keys, minima = old(texts)
+        return node, size, (node[:, None] + np.arange(minhash.BANDS, dtype=np.uint64)), minima
+
+    monkeypatch.setattr(minhash, "sketch", alone)
+    assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == survivors(rows) == {*range(0, 60, 10), 100, 102}
+
+
+def test_parities_never_lose_a_pair():
+    """Bits differ in no more places than shingles differ, so the bound on near pairs is never broken."""
+    texts, grams_ = [], []
+    for _ in range(40):
+        w = prose(RND.choice([3, 20, 200, 3000]))
+        for n in (0, 1, 3, 15):
+            texts.append(" ".join(edited(w, min(n, len(w)))))
+            grams_.append(grams(texts[-1]))
+    bits = minhash.parities(pa.array(texts)).view(np.uint64)
+    for i in range(len(texts)):
+        for j in range(i - i % 4, i):
+            both = len(grams_[i] & grams_[j])
+            differ, total = int(np.bitwise_count(bits[i] ^ bits[j]).sum()), len(grams_[i]) + len(grams_[j])
+            assert differ <= total - 2 * both
+            assert both < minhash.LEAST * (total - both) or differ * (1 + minhash.LEAST) <= total * (1 - minhash.LEAST) + 1e-6
