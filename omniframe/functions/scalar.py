@@ -260,7 +260,7 @@ SCALAR: dict[str, str | dict[int, str]] = {
     "string::slice": {1: "{0}", 2: f"substr({{0}}, cast({_norm('{1}', 'char_length({0})')} as int) + 1)", 3: f"substr({{0}}, cast({_norm('{1}', 'char_length({0})')} as int) + 1, cast(greatest({_norm('{2}', 'char_length({0})')} - {_norm('{1}', 'char_length({0})')}, 0) as int))"},
     "string::split": "split({0}, concat('\\\\Q', {1}, '\\\\E'), -1)",
     "string::trim": "regexp_replace({0}, '^\\\\s+|\\\\s+$', '')",
-    "string::words": "filter(split({0}, '\\\\s+'), w -> w <> '')",
+    "string::words": "filter(split({0}, '[ \\\\t\\\\n\\\\f\\\\r]+'), w -> w <> '')",
     "string::distance::levenshtein": "bigint(levenshtein({0}, {1}))",
     "string::distance::normalized_levenshtein": "(CASE WHEN greatest(char_length({0}), char_length({1})) = 0 THEN 1D ELSE 1D - levenshtein({0}, {1}) / double(greatest(char_length({0}), char_length({1}))) END)",
     "string::distance::hamming": "if(char_length({0}) <> char_length({1}), bigint(raise_error('strings differ in length')), bigint(aggregate(zip_with(split({0}, ''), split({1}, ''), (x, y) -> if(x = y, 0, 1)), 0, (acc, x) -> acc + x)))",

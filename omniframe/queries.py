@@ -55,7 +55,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "array_distinct_agg": ("SELECT o_custkey, array::join(array::sort(array::distinct(o_orderpriority)), '|') AS p FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS p FROM orders GROUP BY o_custkey"),
     "array_join_agg": ("SELECT o_custkey, array::join(o_orderstatus, '-') AS s FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderstatus, '-' ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey"),
     "time_min_max": ("SELECT o_orderstatus, time::unix(time::min(o_orderdate)) AS a, time::unix(time::max(o_orderdate)) AS b FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(epoch(min(o_orderdate)) AS BIGINT) AS a, CAST(epoch(max(o_orderdate)) AS BIGINT) AS b FROM orders GROUP BY o_orderstatus"),
-    "split_words": ("SELECT w, count() AS n FROM (SELECT doc_id, string::words(text) AS w FROM documents SPLIT w) GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text, ' \n\t'), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w"),
+    "split_words": ("SELECT w, count() AS n FROM (SELECT doc_id, string::words(text) AS w FROM documents SPLIT w) WHERE w != NONE GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text, ' \n\t'), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w"),
     "order_multi": ("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 25", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 25"),
     "order_numeric": ("SELECT c_name FROM customer ORDER BY c_name NUMERIC DESC LIMIT 20", "SELECT c_name FROM customer ORDER BY c_name DESC LIMIT 20"),
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),

@@ -55,3 +55,12 @@ def test_links_read_only_their_columns(spark):
 
     plan = star(spark, SF).value("EXPLAIN SELECT o_custkey.c_name AS n FROM orders")
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan
+
+
+def test_split_words_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " ", "\n", "\t\r\n", "a b", "a\x0bb", "\x0b", "\x0ca\x0cb", "a\rb", "a\u00a0b", "a\u0085b", "a\u3000b", "a\x1cb", "a\x00b", "A a", "  b  "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.w, r.n) for r in queries.QUERIES["split_words"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(c.sql(queries.ORACLE["split_words"]).fetchall())
