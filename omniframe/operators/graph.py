@@ -4,7 +4,8 @@ A walk starts from keys and joins edge tables and node tables hop by hop; the
 results are gathered to an ordered array per start with one aggregation. Recursive
 walks keep only the frontier and, for collect and shortest, the visited pairs.
 Each level's frontier is cut from its lineage by a reliable checkpoint when
-one is configured.
+one is configured. Levels are joined by sorting and merging: a broadcast a level
+would send the hops through the driver as often as there are levels.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
         return False
 
     s = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
-    h = hop.select("_from", "_to").filter("_from IS NOT NULL AND _to IS NOT NULL").distinct()
+    h = hop.select("_from", "_to").filter("_from IS NOT NULL AND _to IS NOT NULL").distinct().hint("merge")
     if how == "collect":
         seen = s.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
         front = seen
         for level in range(1, limit + 1):
             new = front.join(h, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-            new = _cut(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+            new = _cut(new.join(seen.hint("merge"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
             if new.isEmpty():
                 break
             beyond(level)
@@ -122,7 +123,7 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
             onward = grown.filter(F.col("_to").isNotNull() & ~F.array_contains("path", F.coalesce("_to", F.element_at("path", -1))))
             new = _cut(onward.select("start", F.array_append("path", F.col("_to")).alias("path")))
             alive = new.select("start", F.slice("path", 1, level).alias("path")).distinct()
-            ended = paths.join(alive, ["start", "path"], "left_anti").filter(F.size("path") > least)
+            ended = paths.join(alive.hint("merge"), ["start", "path"], "left_anti").filter(F.size("path") > least)
             done = ended if done is None else done.unionByName(ended)
             paths = new
             if new.isEmpty():
@@ -135,7 +136,7 @@ def recurse(starts: DataFrame, hop: DataFrame, how: str = "default", least: int
     front = s.select("start", F.col("start").alias("node"))
     ended = None
     for level in range(1, limit + 1):
-        grown = front.join(h.filter("_from <> _to"), F.col("node") == F.col("_from"), "left")
+        grown = front.join(h.filter("_from <> _to").hint("merge"), F.col("node") == F.col("_from"), "left")
         if level > least:
             stop = grown.filter("_to IS NULL").select("start", "node")
             ended = stop if ended is None else ended.unionByName(stop)
@@ -153,7 +154,7 @@ def _shortest(s: DataFrame, h: DataFrame, limit: int, most: int | None, target:
     done = None
     for level in range(1, limit + 1):
         step = front.join(h, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"))
-        new = _cut(step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+        new = _cut(step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen.hint("merge"), ["start", "node"], "left_anti"))
         hit = new.filter(F.col("node") == F.lit(target)).select("start", "path")
         done = hit if done is None else done.unionByName(hit)
         if new.isEmpty():
@@ -161,7 +162,7 @@ def _shortest(s: DataFrame, h: DataFrame, limit: int, most: int | None, target:
         if most is None and level == limit:
             raise RecursionLimit(f"the walk goes on after {MOST_LEVELS} levels")
         seen = seen.unionByName(new.select("start", "node"))
-        front = new.join(hit.select("start"), "start", "left_anti")
+        front = new.join(hit.select("start").hint("merge"), "start", "left_anti")
     first = 1 if inclusive else 2
     return done.select("start", F.expr(f"slice(path, {first}, size(path))").alias("path")).filter(F.size("path") > 0)
 
@@ -169,14 +170,15 @@ def _shortest(s: DataFrame, h: DataFrame, limit: int, most: int | None, target:
 def tree(starts: DataFrame, hop: DataFrame, depth: int) -> DataFrame:
     """(start, tree): nested (node, children) structures of the walk, put together from the bottom level up."""
     s = starts.select(F.col(starts.columns[0]).alias("node")).distinct()
+    hop = hop.hint("merge")
     levels = [s]
     for _ in range(depth):
         nxt = levels[-1].join(hop, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
         levels.append(nxt)
     below = levels[-1].select("node", F.struct(F.col("node").alias("id")).alias("t"))
     for level in reversed(levels[:-1]):
-        kids = level.join(hop, F.col("node") == F.col("_from")).join(below.select(F.col("node").alias("_to"), "t"), "_to").groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("kids"))
+        kids = level.join(hop, F.col("node") == F.col("_from")).join(below.select(F.col("node").alias("_to"), "t").hint("merge"), "_to").groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("kids"))
         empty = F.expr("slice(array(t), 1, 0)")
         shape = below.select(F.first("t").alias("t")).select(empty.alias("none"))
-        below = level.join(kids, "node", "left").crossJoin(F.broadcast(shape)).select("node", F.struct(F.col("node").alias("id"), F.coalesce("kids", "none").alias("children")).alias("t"))
+        below = level.join(kids.hint("merge"), "node", "left").crossJoin(F.broadcast(shape)).select("node", F.struct(F.col("node").alias("id"), F.coalesce("kids", "none").alias("children")).alias("t"))
     return below.select(F.col("node").alias("start"), F.col("t").alias("tree"))

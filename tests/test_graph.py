@@ -61,6 +61,24 @@ def test_recursion_ends_with_an_error(spark):
         graph.MOST_LEVELS = old
 
 
+@pytest.mark.parametrize("how", ["default", "collect", "path", "shortest"])
+def test_no_level_is_sent_through_the_driver(spark, monkeypatch, how):
+    plans, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    hop = spark.range(2, 30).selectExpr("id AS _from", "id div 2 AS _to")
+    got = graph.recurse(spark.range(1, 30), hop, how, target=3 if how == "shortest" else None)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+    assert got.count() == {"default": 28, "collect": sum(k.bit_length() - 1 for k in range(2, 30)), "path": 28, "shortest": 12}[how]
+
+
+def test_no_level_of_a_tree_is_sent_through_the_driver(spark):
+    hop = spark.range(2, 30).selectExpr("id div 2 AS _from", "id AS _to")
+    got = graph.tree(spark.range(1, 30), hop, 2)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+    assert {r.start: len(r.tree.children) for r in got.collect()} == {k: max(0, min(2, 30 - 2 * k)) for k in range(1, 30)}
+
+
 def test_shortest_takes_the_smallest_of_equals(spark):
     pairs = [(0, 2), (0, 1), (1, 3), (2, 3), (3, 0), (3, 4), (2, 5), (5, 4)]
     hop = spark.createDataFrame(pairs, "_from long, _to long")
