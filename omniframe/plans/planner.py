@@ -434,11 +434,12 @@ class Planner:
         self.df = self.df.join(each, F.col(items).eqNullSafe(F.col(number)), "left")
         return Val(f"coalesce({out}, array())", T.ArrayType(rows.schema[field].dataType), link=right.links.get(field))
 
-    def walk(self, parts: list[A.Part], fields: bool = False) -> tuple[DataFrame, str | None, str | None]:
+    def walk(self, parts: list[A.Part], fields: bool = False, counted: bool = False) -> tuple[DataFrame, str | None, str | None]:
         """Rows (_src, _ord, _at and the last table's columns) of a chain of graph steps; the last table; its kind.
 
         Steps that name several tables, or any (``?``), are walked along every way through them and
         united in the order of the tables; the last table is None if the ways end at different ones.
+        A walk that is only counted meets each later edge table after its nodes, so that no walked pairs are shuffled for them.
         """
         for p in parts[:-1]:
             if p.value.order or p.value.limit is not None or p.value.start is not None:
@@ -446,7 +447,7 @@ class Planner:
         ways = self.ways(parts, fields)
         if not ways:
             raise QueryError(f"no table fits {parts[0].value.tables}")
-        found = [self.walk_way(parts, names, len(ways) > 1) for names in ways]
+        found = [self.walk_way(parts, names, len(ways) > 1, counted) for names in ways]
         if len(found) == 1:
             return found[0]
         frames = [rows.withColumn("_ord", F.concat(F.array(F.lit(f"{k:06d}")), "_ord")) for k, (rows, _, _) in enumerate(found)]
@@ -491,9 +492,12 @@ class Planner:
         edge = lambda n: bool(n in known and known[n].edge)
         return [(n, n, edge(n)) for n in g.tables if not all(ends) or n in ends or edge(n) or n not in known]
 
-    def walk_way(self, parts: list[A.Part], names: list[str | None], several: bool) -> tuple[DataFrame, str | None, str | None]:
-        rows, table, on_edge = None, self.scope.table, False
-        for p, name in zip(parts, names):
+    def walk_way(self, parts: list[A.Part], names: list[str | None], several: bool, counted: bool = False) -> tuple[DataFrame, str | None, str | None]:
+        rows, table, on_edge, met = None, self.scope.table, False, False
+        for k, (p, name) in enumerate(zip(parts, names)):
+            if met:
+                met = False
+                continue
             g: A.Graph = p.value
             if g.direction == "ref":
                 t = self.catalog.table(name)
@@ -523,6 +527,14 @@ class Planner:
             if t is None or not t.edge:
                 raise QueryError(f"{name} is not an edge table")
             side = graph.edge_rows(t, g.direction, self.filtered(t.name, g))
+            node = self.catalog.tables.get(names[k + 1]) if k + 1 < len(names) and names[k + 1] else None
+            if counted and rows is not None and node is not None and not node.edge and parts[k + 1].value.direction != "ref":
+                n = self.filtered(node.name, parts[k + 1].value)
+                side = side.select("_met", "_eo", "_reached").join(n.select(*[F.col(quote(c)).alias("_n_" + c) for c in n.columns]), F.col("_reached") == F.col("_n_" + node.key))
+                side = side.select("_met", "_eo", F.col("_reached").alias("_end"), *[F.col("_n_" + c).alias(c) for c in n.columns])
+                rows = self.join_step(rows, side, F.col("_end")).drop("_end")
+                table, on_edge, met = node.name, False, True
+                continue
             rows = self.join_step(rows, side, F.col("_reached"))
             table, on_edge = t.name, True
         if several and on_edge:
@@ -574,11 +586,8 @@ class Planner:
                 fields = fields[1:]
             elif fields:
                 value = compile(A.Idiom(None, fields), inner.scope) if fields[0].kind == "field" else C.part(C.this(inner.scope), fields[0], inner.scope)
-            elif kind == "edge" and table is None:
-                value = Val("`_rid`", T.StringType())
             else:
-                t = self.catalog.tables.get(table or "")
-                value = Val(quote(t.key), T.NullType()) if t and t.key and t.key in rows.columns and kind == "edge" else Val("`_at`", T.NullType())
+                value = self.end(rows, table, kind)
             name = self.fresh("g")
             found = self.in_order(inner, rows.selectExpr("*", f"{value.sql} AS _v"), steps[-1].value)
             found = found.groupBy(F.col("_src").alias(name + "_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_v"))), lambda x: x["_v"]).alias(name))
@@ -592,6 +601,27 @@ class Planner:
             out = C.part(out, p, scope)
         return out
 
+    def end(self, rows: DataFrame, table: str | None, kind: str | None) -> Val:
+        """The record where a walk's rows stand."""
+        if kind == "edge" and table is None:
+            return Val("`_rid`", T.StringType())
+        t = self.catalog.tables.get(table or "")
+        return Val(quote(t.key), T.NullType()) if t and t.key and t.key in rows.columns and kind == "edge" else Val("`_at`", T.NullType())
+
+    def size(self, parts: list[A.Part], distinct: bool) -> Val:
+        """array::len of a walk, or of its distinct records: the order does not matter, so rows are counted and not gathered."""
+        mark = ("size", distinct, repr(parts))
+        if mark not in self.joined:
+            name = self.fresh("z")
+            rows, table, kind = self.walk(parts, counted=True)
+            rows = rows.filter("_src IS NOT NULL").selectExpr("_src", f"{self.end(rows, table, kind).sql} AS _v")
+            if distinct:  # dealt by start at once: pairs seldom repeat within a task of the join
+                rows = rows.repartition("_src").distinct()
+            found = rows.groupBy(F.col("_src").alias(name + "_k")).agg(F.count(F.lit(1)).alias(name))
+            self.df = self.df.join(found, F.col(quote(self.key())) == F.col(name + "_k"), "left")
+            self.joined[mark] = name
+        return Val(f"coalesce({self.joined[mark]}, 0L)", T.LongType())
+
     def in_order(self, inner: Planner, rows: DataFrame, g: A.Graph) -> DataFrame:
         """(_src, _place, _v) with the step's ORDER, START and LIMIT applied to each start's rows."""
         if not g.order and g.limit is None and g.start is None:

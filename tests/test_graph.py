@@ -36,6 +36,25 @@ def test_order_start_and_limit_of_a_step(people):
         people.value("SELECT ->(knows LIMIT 1)->p AS v FROM p")
 
 
+def test_a_length_is_counted_not_gathered(people):
+    sizes = lambda path: {r["n"]: (r["a"], r["d"]) for r in people.value(f"SELECT n, array::len({path}) AS a, array::len(array::distinct({path})) AS d FROM p")}
+    assert sizes("->(knows, likes)->p") == {"A": (3, 2), "B": (1, 1), "C": (0, 0)}
+    assert sizes("->?->?") == {"A": (4, 3), "B": (1, 1), "C": (0, 0)}
+    assert sizes("->knows->p->knows->p") == {"A": (1, 1), "B": (0, 0), "C": (0, 0)}
+    assert sizes("->likes->p<-knows<-p") == {"A": (2, 2), "B": (0, 0), "C": (0, 0)}
+    assert sizes("->(knows WHERE w < 5)->p->?->(p WHERE n = 'C')") == {"A": (1, 1), "B": (0, 0), "C": (0, 0)}
+    assert sizes("->likes") == {"A": (2, 2), "B": (0, 0), "C": (0, 0)}
+    assert sizes("->(knows ORDER BY w LIMIT 1)") == {"A": (1, 1), "B": (1, 1), "C": (0, 0)}
+
+
+def test_two_hops_shuffle_no_order_and_no_lists(spark):
+    from omniframe import queries
+
+    plan = queries.QUERIES["graph_two_hops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    physical = plan.split("== Physical Plan ==")[1]
+    assert "collect_list" not in physical and "l_linenumber" not in physical
+
+
 def test_recursion_over_several_tables(people):
     got = {r["n"]: sorted(r["v"] or []) for r in people.value("SELECT n, id.{..+collect}(->(knows, likes)->?) AS v FROM p")}
     assert got == {"A": ["p:b", "p:c", "s:x"], "B": ["p:c"], "C": []}
