@@ -101,3 +101,32 @@ def test_empty_numbers_are_nan(engine):
 def test_refused(engine, text):
     with pytest.raises(ValueError):
         engine.value(f"RETURN {text}")
+
+
+def test_geohashes_of_columns_are_those_of_rows():
+    import pandas as pd
+
+    from omniframe.functions.python_udfs import geohash_of, geohashes, vectorised
+
+    xs = [k * 7.3 - 180 for k in range(50)] + [0.0, -0.0, 180.0, -180.0, 5.625, 500.0, None, float("nan"), float("inf")]
+    ys = [k * 3.7 - 90 for k in range(50)] + [0.0, -0.0, 90.0, -90.0, 2.8125, 1.0, 1.0, 1.0, -1.0]
+    for size in (0, 1, 6, 12, 20):
+        columns = pd.Series(xs, dtype="float64"), pd.Series(ys, dtype="float64"), pd.Series([size] * len(xs))
+        assert geohashes(*columns).tolist() == vectorised(geohash_of)(*columns).tolist()
+
+
+def test_equal_shapes_are_worked_out_once():
+    import pandas as pd
+
+    from omniframe.functions.python_udfs import ONCE_EACH, once_each
+
+    calls: list[str] = []
+    assert once_each(lambda s: calls.append(s) or len(s))(pd.Series(["ab", "c", "ab", None, "ab"])).tolist()[:3] == [2, 1, 2]
+    assert calls == ["ab", "c"] and {"geo_area", "geo_centroid"} <= ONCE_EACH and "pbkdf2" not in ONCE_EACH
+
+
+def test_a_point_is_valid_without_python(engine):
+    engine.query("CREATE p:a SET x = 1.0; CREATE p:b SET x = math::inf")
+    got = engine.sql("SELECT id, geo::is_valid((x, 7.0)) AS v FROM p")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.v for r in got.collect()} == {"p:a": True, "p:b": False}
